@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_gif, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
+from . import line_dedup, media_gif, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -60,9 +65,10 @@ QUERIES = {
         op4_simhash_dedup,
         op5_warc,
         op6_quality_classifier,
+        op7_line_dedup,
         op8_secret_scan,
         op9_token_counts,
         op10_media_gif,
     )
 }
-ORACLE = {"op1_url_filter": url_filter.oracle(), "op5_warc": warc.ORACLE}
+ORACLE = {"op1_url_filter": url_filter.oracle(), "op5_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
