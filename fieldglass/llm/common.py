@@ -46,3 +46,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def require(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator works on, so that other columns can't clash with its own."""
     return df.select(*[df[n] for n in names])
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row: an expression named inside a lambda is otherwise computed for each element."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+#: A side of at most so many narrow rows (some tens of MB) is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 400_000
+
+
+def bounded(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and counted; marked for broadcast only when the count is within bounds."""
+    kept = materialise(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept

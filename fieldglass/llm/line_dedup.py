@@ -22,17 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, require
+from .common import bounded, let, materialise, require
 
 NEAR_WORDS = 8
-#: A side of at most so many narrow rows (some tens of MB) is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 400_000
-
-
-def bounded(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and counted; marked for broadcast only when the count is within bounds."""
-    kept = materialise(df, name)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,7 +83,7 @@ def earliest(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_i
         pairs.join(texts_of, "place")
         .withColumnRenamed("line", "a")
         .join(texts_of.withColumnsRenamed({"place": "first", "line": "b"}), "first")
-        .filter(within_one(words(F.col("a")), words(F.col("b"))))
+        .filter(let(words(F.col("a")), lambda a: let(words(F.col("b")), lambda b: within_one(a, b))))
         .select("place")
         .distinct()
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media_gif, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
+from . import decontaminate, line_dedup, media_gif, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -61,6 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter,
+        op2_decontamination,
         op3_best_fit_packing,
         op4_simhash_dedup,
         op5_warc,
