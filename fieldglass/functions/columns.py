@@ -172,5 +172,5 @@ def roster_settings(doc: Column | str, root: str = "$.settings") -> Column:
 
     slots = {k: F.coalesce(number(f"slots_{k}"), F.lit(v)) for k, v in SETTINGS_DEFAULT.items()}
     starters = sum(list(slots.values())[1:], slots["qb"])
-    bench = F.coalesce(F.greatest(number("rounds") - starters, F.lit(0)), number("slots_bn"), F.lit(6))
+    bench = F.coalesce(F.when(number("rounds").isNotNull(), F.greatest(number("rounds") - starters, F.lit(0))), number("slots_bn"), F.lit(6))
     return F.struct(*[v.alias(k) for k, v in slots.items()], bench.alias("bench"))
