@@ -72,6 +72,8 @@ def earliest(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_i
     variant = F.when(F.col("out") < 0, F.array_join("w", " ")).otherwise(F.concat_ws(" ", F.slice("w", F.lit(1), F.greatest(F.col("out"), F.lit(0))), F.slice("w", F.col("out") + 2, F.size("w"))))
     variants = spread.select("place", "out", variant.alias("v")).select("place", "out", F.xxhash64("v").alias("v1"), F.xxhash64(F.lit(1), "v").alias("v2"))
     variants = materialise(variants, "variants")
+    met = bounded(variants.groupBy("v1").agg(F.count("*").alias("c")).filter("c > 1").select("v1"), "met")
+    variants = materialise(variants.join(met, "v1", "left_semi"), "met-variants")  # those that any other line has too
     left_out = F.col("out") >= 0
     by_place = variants.filter(left_out).groupBy("v1", "v2", "out").agg(F.min("place").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     by_key = variants.groupBy("v1", "v2").agg(F.min(F.when(~left_out, F.col("place"))).alias("plain"), F.min(F.when(left_out, F.col("place"))).alias("cut")).filter("plain IS NOT NULL AND cut IS NOT NULL")
