@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, slices
 
 COLUMNS, ROWS, DELAY_CS, BINS = 64, 1024, 10, 8
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
@@ -260,18 +260,6 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return require(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_bytes long, payload_bytes long, media binary")
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``most`` bytes of that column, one row at least."""
-    start = held = 0
-    for i, v in enumerate(batch.column(column)):
-        held += v.as_buffer().size if v.is_valid else 0
-        if held >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows or batch.num_rows == 0:
-        yield batch.slice(start)
-
-
 FRAMES = "array<struct<delay_ms: int, left: int, top: int, width: int, height: int, histogram: array<int>{}>>"
 
 

@@ -15,84 +15,122 @@ An empty table gives no rows. Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
+import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, require
+from .common import materialise, require, slices
+from .token_counts import byte_symbols
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: The split pattern of the word tokenizer, and the characters on which its normaliser does nothing but lower-case and join white space.
+#: Fixed value: the split pattern of the word tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-UNUSUAL = r"[^\t\n\r\x20-\x7e\xa1-įı-ɏ]"
-MEMO_ENTRIES = 400_000
-MEMO_CHARS = 64
+#: Fixed value: all but the characters on which the tokenizer's normaliser only lower-cases, and whose white space str.split() knows.
+UNUSUAL = r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]"
+MEMO_ENTRIES = 800_000
 
 
 class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes, equal to the library's; words of usual letters are remembered."""
+    """Ids of a text as unsigned 32-bit bytes, equal to the library's. No id spans white space, so runs of usual characters between it are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words, self.unusual = regex.compile(WORDS), regex.compile(UNUSUAL)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.unusual = re.compile(UNUSUAL)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        self.words, self.model = regex.compile(WORDS), self.library.model
+        self.shifted = {b: c for b, c in byte_symbols().items() if ord(c) != b}
         self.memo: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.unusual.search(text) or any(s in text for s in self.special):
-            return self.encode(text)
-        memo, out = self.memo, []
-        for w in self.words.findall(text.lower()):
-            ids = memo.get(w)
-            if ids is None:
-                ids = self.encode(w)
-                if len(w) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-
-def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most ``capacity`` ids: id, piece, start, length, ids (bytes of unsigned 32 bits), and the task and the rank in it among pieces of that length."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_run(self, run: str) -> bytes:
+        """The same for a run of usual characters: lower-cased, cut into words, each word's bytes given to the merge model."""
+        ids = array("I")
+        for w in self.words.findall(run.lower()):
+            symbols = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.shifted)
+            ids.extend([t.id for t in self.model.tokenize(symbols)])
+        return ids.tobytes()
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Runs are numbered over all of ``texts`` at once, so that each different one is looked up once."""
+        out, usual = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            if t and (self.unusual.search(t) or "<|" in t and self.special.search(t)):
+                out[i] = self.encode([t])[0]
+            elif t:
+                usual.append(i)
+        if usual:
+            runs = pc.utf8_split_whitespace(pa.array([texts[i] for i in usual], pa.large_string()))
+            numbered = runs.values.dictionary_encode()
+            found = self.remembered(numbered.dictionary.to_pylist())
+            length = np.array([len(b) // 4 for b in found])
+            flat, start = np.frombuffer(b"".join(found), "<u4"), np.concatenate(([0], np.cumsum(length)[:-1]))
+            which = numbered.indices.to_numpy()
+            lengths = length[which]
+            ends = np.cumsum(lengths)
+            ids = flat[np.repeat(start[which] - ends + lengths, lengths) + np.arange(ends[-1])].astype("<u4").tobytes()
+            cuts = np.concatenate(([0], ends))[runs.offsets.to_numpy()] * 4
+            for i, a, b in zip(usual, cuts.tolist(), cuts[1:].tolist()):
+                out[i] = ids[a:b]
+        return out
+
+    def remembered(self, runs: list[str]) -> list[bytes]:
+        memo = self.memo
+        if new := [r for r in runs if r not in memo]:
+            if len(memo) + len(new) > MEMO_ENTRIES:
+                memo.clear()
+                new = runs
+            memo.update((r, self.encode_run(r)) for r in new)
+        return [memo[r] for r in runs]
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that its memo outlives a task. The library's own threads would only crowd the task slots."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
+
+
+def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: id, piece, start, length, their CRC-32, ids (bytes of unsigned 32 bits, null unless ``keep_ids``), and the task and the rank in it among pieces of that length."""
     kind = require(docs, id_col).schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, task = WordIds(vocabulary), [0] * (capacity + 1), TaskContext.get().partitionId()
+        words, seen, task = word_ids(vocabulary), [0] * (capacity + 1), TaskContext.get().partitionId()
         end = np.array([SEPARATOR], "<u4").tobytes()
-        schema = pa.schema([("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("task", pa.int64()), ("rank", pa.int64())])
+        schema = pa.schema([("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("task", pa.int64()), ("rank", pa.int64())])
         for batch in batches:
-            texts, rows, held = batch.column(1), [], 0
-            for i in range(len(texts)):
-                ids = words.ids(texts[i].as_py()) + end
-                total = len(ids) // 4
-                for piece, start in enumerate(range(0, total, capacity)):
-                    n = min(capacity, total - start)
-                    rows.append((i, piece, start, n, ids[4 * start : 4 * (start + n)], task, seen[n]))
-                    seen[n] += 1
-                held += len(ids)
-                if held > 8 << 20 or i == len(texts) - 1:
-                    out = pa.table(list(zip(*rows)) and [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema).combine_chunks()
-                    for part in out.to_batches():
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(part.column(0)), *part.columns[1:]], names=[id_col, *schema.names[1:]])
-                    rows, held = [], 0
-
-    return require(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, piece int, start long, length long, ids binary, task long, rank long")
+            for part in slices(batch, 1, 4 << 20):
+                rows = []
+                for i, ids in enumerate(words.ids(part.column(1).to_pylist())):
+                    ids += end
+                    total = len(ids) // 4
+                    for piece, start in enumerate(range(0, total, capacity)):
+                        n = min(capacity, total - start)
+                        own = ids[4 * start : 4 * (start + n)]
+                        rows.append((i, piece, start, n, zlib.crc32(own), own if keep_ids else None, task, seen[n]))
+                        seen[n] += 1
+                if rows:
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(columns[0]), *columns[1:]], names=[id_col, *schema.names[1:]])
+
+    return require(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary, task long, rank long")
 
 
 class Tree:
@@ -191,5 +229,5 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Every piece with its place: id, piece, start, length, sequence_id, offset, ids_crc32, and the ids themselves unless ``keep_ids`` is off."""
-    pieces = tokenise(docs, vocabulary, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = tokenise(docs, vocabulary, capacity, id_col, text_col, keep_ids)
     return place(materialise(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)
