@@ -10,6 +10,7 @@ Texts of any length are counted whole. Columns other than the two named are not
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from .common import require
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 64
 
 
@@ -100,12 +101,18 @@ class Counter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> Counter:
+    """One per worker process, so that its memo outlives a task."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is a byte-level BPE json file on every machine."""
     kind = require(docs, id_col).schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
         for batch in batches:
             texts = batch.column(1)
             sizes, counts = [], []
