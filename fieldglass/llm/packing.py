@@ -40,7 +40,8 @@ SEPARATOR = 0
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed value: all but the characters on which the tokenizer's normaliser only lower-cases, and whose white space str.split() knows.
 UNUSUAL = r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]"
-MEMO_ENTRIES = 800_000
+#: Runs in each of the memo's two generations.
+GENERATION = 200_000
 
 
 class WordIds:
@@ -54,7 +55,8 @@ class WordIds:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.words, self.model = regex.compile(WORDS), self.library.model
         self.shifted = {b: c for b, c in byte_symbols().items() if ord(c) != b}
-        self.memo: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,13 +93,17 @@ class WordIds:
         return out
 
     def remembered(self, runs: list[str]) -> list[bytes]:
-        memo = self.memo
-        if new := [r for r in runs if r not in memo]:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = runs
-            memo.update((r, self.encode_run(r)) for r in new)
-        return [memo[r] for r in runs]
+        """From the memo's two generations. When the young one is full it becomes the old one, so what keeps coming up stays."""
+        young, old, out = self.young, self.old, []
+        for r in runs:
+            ids = young.get(r)
+            if ids is None:
+                ids = old.get(r)
+                young[r] = ids = self.encode_run(r) if ids is None else ids
+            out.append(ids)
+        if len(young) > GENERATION:
+            self.old, self.young = young, {}
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -116,7 +122,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
         end = np.array([SEPARATOR], "<u4").tobytes()
         schema = pa.schema([("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("task", pa.int64()), ("rank", pa.int64())])
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 rows = []
                 for i, ids in enumerate(words.ids(part.column(1).to_pylist())):
                     ids += end
@@ -163,33 +169,36 @@ class Tree:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, number, first sequence, offset): best fit decreasing of ``histogram[length]`` documents each."""
     tree, open_, runs, sequences = Tree(capacity), defaultdict(deque), [], 0
+
+    def put(length: int, rank: int, first: int, n: int, room: int, each: int) -> int:
+        """``each`` documents into each of ``n`` sequences from ``first``, all with that room; the next rank."""
+        for k in range(each):
+            runs.append((length, rank + k * n, n, first, capacity - room + k * length))
+        open_[room - each * length].append((first, n))
+        tree.add(room - each * length, n)
+        return rank + each * n
+
     for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
+        rank, end = 0, histogram[length]
+        while rank < end:
             room = tree.tightest(length)
-            if room is None:  # new sequences take as many of this run as they hold; the last one takes the rest
-                full, rest = divmod(left, capacity // length)
-                for fresh, each in ((full, capacity // length), (1, rest)):
-                    if not fresh or not each:
-                        continue
-                    for k in range(each):
-                        runs.append((length, rank, fresh, sequences, k * length))
-                        rank += fresh
-                    room = capacity - each * length
-                    open_[room].append((sequences, fresh))
-                    tree.add(room, fresh)
-                    sequences += fresh
-                break
+            if room is None:
+                room, fresh = capacity, -(-(end - rank) // (capacity // length))
+                open_[room].append((sequences, fresh))
+                tree.add(room, fresh)
+                sequences += fresh
             first, n = open_[room].popleft()
-            put = min(n, left)
-            tree.add(room, -put)
-            if n > put:
-                open_[room].appendleft((first + put, n - put))
-            runs.append((length, rank, put, first, capacity - room))
-            if room > length:
-                open_[room - length].append((first, put))
-                tree.add(room - length, put)
-            rank, left = rank + put, left - put
+            tree.add(room, -n)
+            each = room // length  # a sequence that got one of them is the tightest for the next
+            full = min(n, (end - rank) // each)
+            if full:
+                rank = put(length, rank, first, full, room, each)
+            if full < n and rank < end:
+                rank = put(length, rank, first + full, 1, room, end - rank)
+                full += 1
+            if full < n:
+                open_[room].appendleft((first + full, n - full))
+                tree.add(room, n - full)
     return runs
 
 
