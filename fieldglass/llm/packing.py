@@ -63,8 +63,14 @@ class WordIds:
 
     def encode_run(self, run: str) -> bytes:
         """The same for a run of usual characters: lower-cased, cut into words, each word's bytes given to the merge model."""
-        ids = array("I")
-        for w in self.words.findall(run.lower()):
+        ids, run = array("I"), run.lower()
+        if run.isalpha():
+            words = [run]
+        elif run[:-1].isalpha():  # what follows letters and is none is a word of its own
+            words = [run[:-1], run[-1]]
+        else:
+            words = self.words.findall(run)
+        for w in words:
             symbols = w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(self.shifted)
             ids.extend([t.id for t in self.model.tokenize(symbols)])
         return ids.tobytes()
