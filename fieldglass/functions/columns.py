@@ -46,7 +46,7 @@ def college_key(c: Column | str) -> Column:
 
 
 def identity_hash(primary: Column | str, secondary: Column | str, name: Column | str, born: Column | str, college: Column | str, prefix: str = "YAMP_") -> Column:
-    """Twelve hex digits of the MD5 of the non-empty parts. A missing id or birth date counts as the text None; a missing college is left out."""
+    """``prefix`` (a fixed value) and twelve hex digits of the MD5 of the non-empty parts. A missing id or birth date counts as the text None; a missing college is left out."""
     parts = [F.coalesce(column_safe(c), F.lit("None")) for c in (primary, secondary, name, born)] + [F.coalesce(college_key(college), F.lit(""))]
     line = F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "|")
     return F.concat(F.lit(prefix), F.substring(F.md5(line), 1, 12))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import college_key, identity_hash, keep_first, name_key
 from fieldglass.operators import coverage, enrich, insert_missing, lookup_id_then_unique, lookup_keys, repeated_rows, tiered_match
 
+#: Fixed value: the name of the player id in every table.
 ID = "yamplayer_id"
 
 
