@@ -41,7 +41,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed value: all but the characters on which the tokenizer's normaliser only lower-cases, and whose white space str.split() knows.
 UNUSUAL = r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]"
 #: Runs in each of the memo's two generations.
-GENERATION = 200_000
+GENERATION = 300_000
 
 
 class WordIds:
@@ -128,7 +128,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col:
         end = np.array([SEPARATOR], "<u4").tobytes()
         schema = pa.schema([("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("task", pa.int64()), ("rank", pa.int64())])
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 4 << 20):
                 rows = []
                 for i, ids in enumerate(words.ids(part.column(1).to_pylist())):
                     ids += end
