@@ -26,7 +26,10 @@ from .common import require
 from .convnet import Net, sigmoid
 
 CHUNK, STEP = 512, 448
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 3000, 48, 10, 32, 4e-3, 7
+TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 3000, 48, 14, 32, 4e-3, 7
+KERNEL = 16
+#: A row of the rarer label counts as often as the other label is more frequent, but so many times at most.
+WEIGHT = 4.0
 AT_ONCE = 512  # chunks that a task scores at a time
 
 
@@ -75,7 +78,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     prior = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
         return Classifier(None, float(prior))
-    net, rng, f = Net(seed), np.random.default_rng(seed), 32
+    net, rng = Net(seed, kernel=KERNEL), np.random.default_rng(seed)
+    f, share = net.filters, labels.mean()
+    rarer = 1.0 if share < 0.5 else 0.0
+    weight = np.where(labels == rarer, min(WEIGHT, max(share, 1 - share) / min(share, 1 - share)), 1.0)
     net.p["b2"][:] = np.log(prior / (1 - prior))
     rows = []
     for t in texts:
@@ -93,7 +99,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             features = np.hstack([largest, np.add.reduceat(pooled, starts) / n]).astype(np.float32)
             h, z = net.head(features)
             g = net.zero()
-            df = net.head_gradient(features, h, ((sigmoid(z) - labels[own]) / len(own)).astype(np.float32), g)
+            df = net.head_gradient(features, h, ((sigmoid(z) - labels[own]) * weight[own] / len(own)).astype(np.float32), g)
             first = (pooled == largest[who]) & (pooled > 0)
             ties = np.maximum(np.add.reduceat(first.astype(np.float32), starts), 1)
             net.pool_gradient(x, pooled, at, first * (df[:, :f] / ties)[who] + (df[:, f:] / n)[who], g)
