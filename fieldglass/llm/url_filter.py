@@ -14,10 +14,7 @@ each. An empty table gives no rows. Other columns than the two named are not rea
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, require
+from .common import ascii_lower, fresh_path, require
 
 ALLOW, BLOCK = "allow", "block"
 #: The production rules: verdict, host, path.
@@ -37,17 +34,14 @@ LISTED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "cas
 HEAD = struct.Struct("<8sQQ")
 
 
-def write_digests(entries: Iterable[tuple[str, int]], path: str, lengths: Iterable[int] = ()) -> None:
-    """Store (string, verdict) entries; of one string's entries the last counts. ``lengths`` are stored beside them."""
+def digest_bytes(entries: Iterable[tuple[str, int]], lengths: Iterable[int] = ()) -> bytes:
+    """The file of (string, verdict) entries; of one string's entries the last counts. ``lengths`` are stored beside them."""
     found = {k.encode("utf-8"): v for k, v in entries}
     strings = sorted(found, key=lambda s: (xxhash.xxh64_intdigest(s), s))
     ends = np.cumsum([0, *map(len, strings)]).astype("<u8")
     extra = np.array(sorted(set(lengths)), "<u8")
-    with open(path, "wb") as out:
-        out.write(HEAD.pack(b"digests1", len(strings), len(extra)))
-        for block in (np.array([xxhash.xxh64_intdigest(s) for s in strings], "<u8"), ends, extra, np.array([found[s] for s in strings], np.uint8)):
-            out.write(block.tobytes())
-        out.write(b"".join(strings))
+    keys, verdicts = np.array([xxhash.xxh64_intdigest(s) for s in strings], "<u8"), np.array([found[s] for s in strings], np.uint8)
+    return b"".join([HEAD.pack(b"digests1", len(strings), len(extra)), *(block.tobytes() for block in (keys, ends, extra, verdicts)), *strings])
 
 
 class Digests:
@@ -110,12 +104,14 @@ def judge(rules: Digests, listed: Digests, hosts: list[str], paths: list[str]) -
 
 
 def ship(spark: SparkSession, entries: Iterable[tuple[str, int]], lengths: Iterable[int] = ()) -> str:
-    """Write the entries on the driver and give every executor the file; returns its name."""
-    name = f"digests-{uuid.uuid4().hex}"
-    path = os.path.join(tempfile.mkdtemp(prefix="fieldglass-"), name)
-    write_digests(entries, path, lengths)
+    """Put the file into the shared folder and have every executor fetch it once; returns its name."""
+    path = fresh_path(spark, "digests")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(digest_bytes(entries, lengths))
+    out.close()
     spark.sparkContext.addFile(path)
-    return name
+    return path.rsplit("/", 1)[1]
 
 
 def filter_urls(pages: DataFrame, rules=RULES, listed: Iterable[str] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 def test_digests_survive_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
     path = str(tmp_path / "d")
-    url_filter.write_digests([("aa", 1), ("bb", 0), ("cc", 1), ("dddd", 1)], path)
+    (tmp_path / "d").write_bytes(url_filter.digest_bytes([("aa", 1), ("bb", 0), ("cc", 1), ("dddd", 1)]))
     d = url_filter.Digests(path)
     at = d.probe([b"cc", b"aa", b"xx", b"dddd", b"", b"bb", b"eeeee"])
     assert (at >= 0).tolist() == [True, True, False, True, False, True, False]
@@ -25,7 +25,7 @@ def test_digests_survive_collisions(tmp_path, monkeypatch):
 
 
 def test_empty_digests(tmp_path):
-    url_filter.write_digests([], str(tmp_path / "d"))
+    (tmp_path / "d").write_bytes(url_filter.digest_bytes([]))
     assert url_filter.Digests(str(tmp_path / "d")).probe([b"x"]).tolist() == [-1]
 
 
