@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "POSITION_STANDARD", "bernoulli_weight", "bytes_for_people", "cast_rounded", "choose", "column_safe", "college_key", "fallback",
-    "height_inches", "identity_hash", "json_scoring_type", "log10_or_null", "lookup", "lower_trim", "name_key", "name_key_plain",
+    "height_inches", "identity_hash", "json_scoring_type", "literal_map", "log10_or_null", "lookup", "lower_trim", "name_key", "name_key_plain",
     "one_line", "position_standard", "ratio_or_null", "roster_settings", "round_half_even", "row_count_present", "row_mean",
     "safe_identifier", "team_suffix", "to_int", "url_safe",
 ]
@@ -52,11 +52,23 @@ def identity_hash(primary: Column | str, secondary: Column | str, name: Column |
     return F.concat(F.lit(prefix), F.substring(F.md5(line), 1, 12))
 
 
+def literal(value) -> str:
+    """SQL text of a string, number or list of them. One parsed text is much cheaper to build than a call for each entry."""
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(literal, value))})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def literal_map(table: Mapping) -> Column:
+    return F.expr(f"map({', '.join(literal(x) for kv in table.items() for x in kv)})")
+
+
 def lookup(c: Column | str, table: Mapping, default: Column | None = None) -> Column:
     """Value of a literal mapping; the default, or the key itself, where it is missing."""
     c = column_safe(c)
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, c), c if default is None else default)
+    return F.coalesce(F.try_element_at(literal_map(table), c), c if default is None else default)
 
 
 def position_standard(c: Column | str) -> Column:

@@ -27,10 +27,11 @@ def descending(by: Sequence[str], *order: Column | str) -> WindowSpec:
 def percentile_rank(value: Column | str, by: Sequence[str], higher_is_better: bool = True, scale: float = 10.0) -> Column:
     """Average-tie rank over the count of values, times ``scale``; nulls have no rank and count for nobody."""
     value = column_safe(value)
-    order = value.asc_nulls_last() if higher_is_better else value.desc_nulls_last()
-    ties = F.count(value).over(group([*by, value]))
-    rank = F.rank().over(group(by).orderBy(order)) + (ties - 1) / 2
-    return F.when(value.isNotNull(), rank / F.count(value).over(group(by)) * scale)
+    window = group(by).orderBy(value.asc_nulls_last() if higher_is_better else value.desc_nulls_last())
+    # one ordering serves all three: values before, values up to and with the ties, all values
+    upto, whole = window.rangeBetween(Window.unboundedPreceding, Window.currentRow), window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    middle = (F.rank().over(window) + F.count(value).over(upto)) / 2
+    return F.when(value.isNotNull(), middle / F.count(value).over(whole) * scale)
 
 
 def percentile_reversed(value: Column | str, by: Sequence[str], scale: float = 10.0) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions import literal_map
+
 #: The share of flex places that each position takes.
 FLEX_SHARE = {"RB": 0.50, "WR": 0.35, "TE": 0.15}
 
@@ -44,7 +46,7 @@ def depth(teams: int, slots: Mapping[str, int], flex: int = 0, shares: Mapping[s
 
 def replacement_levels(pool: DataFrame, depths: Mapping[str, int], position: str = "position", value: str = "projected_points", *ties: str) -> DataFrame:
     """(position, replacement): the value just below each position's depth, 0.0 where the list is shorter."""
-    table = F.create_map(*[F.lit(x) for kv in depths.items() for x in kv])
+    table = literal_map(depths)
     order = Window.partitionBy(position).orderBy(F.col(value).desc_nulls_last(), *[F.col(t) for t in ties])
     ranked = pool.filter(F.col(position).isin(list(depths))).withColumn("__rn", F.row_number().over(order))
     level = F.max(F.when(F.col("__rn") == F.try_element_at(table, F.col(position)) + 1, F.col(value)))

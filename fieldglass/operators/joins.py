@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions import keep_first
+from fieldglass.functions import keep_first, literal_map
 
 Tier = Sequence[tuple[Column, Column]]
 
@@ -108,8 +108,7 @@ def spread(df: DataFrame, column: str, groups: Mapping[str, Sequence[str]], into
     for name, values in groups.items():
         for v in values:
             member.setdefault(v, []).append(name)
-    table = F.create_map(*[x for v, names in member.items() for x in (F.lit(v), F.array(*map(F.lit, names)))])
-    return df.withColumn(into, F.explode(F.try_element_at(table, F.col(column))))
+    return df.withColumn(into, F.explode(F.try_element_at(literal_map(member), F.col(column))))
 
 
 def missing_pairs(left: DataFrame, right: DataFrame, present: DataFrame) -> DataFrame:
