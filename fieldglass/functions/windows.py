@@ -40,13 +40,16 @@ def percentile_reversed(value: Column | str, by: Sequence[str], scale: float = 1
 
 
 def percentile_expanding(df: DataFrame, value: str, by: Sequence[str], season: str, name: str, scale: float = 10.0) -> DataFrame:
-    """Share of smaller values in this and all earlier seasons, times ``scale``. Counted on distinct (group, season, value), joined by range."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, season, value).agg(F.count("*").alias("__n"))
-    earlier = counts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col(season).alias("__s"), F.col(value).alias("__v"), F.col("__n").alias("__m"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    on = (F.col("__s") <= F.col(season)) if not same else [*same, F.col("__s") <= F.col(season)]
-    shares = counts.join(earlier, on).groupBy(*by, season, value).agg((F.sum(F.when(F.col("__v") < F.col(value), F.col("__m")).otherwise(0)) / F.sum("__m") * scale).alias(name))
-    return df.join(shares, [*by, season, value], "left")
+    """Share of smaller values in this and all earlier seasons, times ``scale``.
+
+    Each row is spread over its season and the later ones (a few dozen at most) and ranked in each; no row meets another by a range join.
+    """
+    seasons = df.agg(F.collect_set(season).alias("__seasons"))  # one row
+    spread = df.crossJoin(F.broadcast(seasons)).withColumn("__s", F.explode_outer(F.filter("__seasons", lambda s: s >= F.col(season))))
+    window = group([*by, "__s"]).orderBy(F.col(value).asc_nulls_last())
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.when(F.col(value).isNotNull(), (F.rank().over(window) - 1) / F.count(value).over(whole) * scale)
+    return spread.withColumn(name, share).filter(F.col("__s").eqNullSafe(F.col(season))).drop("__s", "__seasons")
 
 
 def minmax_within(value: Column | str, by: Sequence[str], invert: bool = False, null_as: float = 0.0) -> Column:

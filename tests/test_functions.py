@@ -107,3 +107,16 @@ def test_weighted_draw_follows_weights(spark):
     df = spark.range(2000).select(F.col("id").alias("g"), F.explode(F.array(F.struct(F.lit(1).alias("k"), F.lit(3.0).alias("w")), F.struct(F.lit(2).alias("k"), F.lit(1.0).alias("w")), F.struct(F.lit(3).alias("k"), F.lit(0.0).alias("w")))).alias("s")).select("g", "s.*")
     drawn = {r.k: r["count"] for r in fn.weighted_draw(df, "w", ["g"], "k", seed=3).groupBy("k").count().collect()}
     assert set(drawn) == {1, 2} and 1400 < drawn[1] < 1600
+
+
+def test_literals_survive_quotes(spark):
+    table = {"it's": "a\\b", "x": 'say "hi"'}
+    df = spark.createDataFrame([("it's",), ("x",), ("other",), (None,)], "k string")
+    assert [r[0] for r in df.select(fn.lookup("k", table)).collect()] == ["a\\b", 'say "hi"', "other", None]
+    assert df.select(fn.lookup("k", {"x": 0.5}, F.lit(1.0)).alias("v")).dtypes == [("v", "double")]
+
+
+def test_expanding_percentile_edges(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 7.0), ("a", 2, 5.0), ("a", 2, None), ("a", None, 1.0), ("b", 2, 1.0)], "g string, s int, v double")
+    got = sorted(map(tuple, fn.percentile_expanding(df, "v", ["g"], "s", "p").collect()), key=repr)
+    assert got == sorted([("a", 1, 5.0, 0.0), ("a", 2, 7.0, 2 / 3 * 10), ("a", 2, 5.0, 0.0), ("a", 2, None, None), ("a", None, 1.0, 0.0), ("b", 2, 1.0, 0.0)], key=repr)
