@@ -151,3 +151,20 @@ def test_whole_table_equals_brute_force(spark):
         want[top[k]] = min(want.get(top[k], i), i)
     got = similar.keep_one(table(spark, "/root/testdata/sf0.001", "documents"))
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(want.values())
+
+
+def test_repeated_phrases_do_not_part_near_copies(spark):
+    rng = random.Random(2)
+    data = []
+    for g in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(210)]
+        data += [(2 * g, " ".join(words[:200])), (2 * g + 1, " ".join(words[:200] + words[200:] * 20))]
+    top = kept_by_brute_force(data)
+    assert len(set(top.values())) == 12
+    assert sorted(r.doc_id for r in similar.keep_one(docs(spark, *data)).collect()) == [2 * g for g in range(12)]
+
+
+def test_links_beyond_the_radius_are_verified():
+    sets = [np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
+    bits = np.array([0, 2**40 - 1, 0], np.uint64)
+    assert similar.verified_forest(bits, sets, 0.8, 20) == [(0, 1)]
