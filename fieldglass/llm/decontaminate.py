@@ -1,12 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame functions only.
 
-Texts are lower-cased and cut into words of letters and digits. A window has as many words as an item. Only
-windows that share a shingle with the benchmark can be similar to an item, so windows are placed where such
-a shingle, at its place in an item, puts them; which shingles of the corpus are the benchmark's is found by
-a join on their hashes, over all documents and whole texts. Each window's and each item's SimHash is compared
+Texts are lower-cased and cut into words of letters and digits. A window has as many words as an item. A
+window can only be similar to an item if at least the threshold's share of the item's shingles stand in it, so
+windows are placed at every start whose window holds so many shingles of items of its size; which shingles of the
+corpus are the benchmark's is found by a join on their hashes, over all documents and whole texts. Each window's and each item's SimHash is compared
 through a multi-index: fingerprints cut into ``radius + 1`` blocks, of which those within the radius share
 one, joined on block and value among windows and items of one size. So all fingerprints within the radius
-meet, whatever item placed the window. What meets is verified by the exact weighted similarity of
+meet, whatever items placed the window. What meets is verified by the exact weighted similarity of
 their bags of shingles: the sum of smaller counts over that of larger counts.
 
 At a similarity of 0.8, fingerprints differ in 10 of 64 bits on average (standard deviation 3); the radius of 20
@@ -72,6 +72,20 @@ def blocks(bits: Column, radius: int = RADIUS) -> Column:
     return F.array(*[F.shiftrightunsigned(F.shiftleft(bits, WIDTH - hi), WIDTH - hi + lo) + F.lit(i << 48) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
 
 
+def placed(at: Column, words: Column, k: Column, threshold: float) -> Column:
+    """Starts of all windows of ``words`` words in which so many of the shingles at ``at`` stand as the threshold needs."""
+    need = F.greatest(F.ceil((words - k + 1) * F.lit(float(threshold)) - F.lit(1e-9)).cast("int"), F.lit(1))
+
+    def held(at: Column, need: Column) -> Column:
+        def around(j: Column) -> Column:
+            first, last = F.get(at, j - need + 1), F.get(at, j)
+            return F.when(last - first <= words - k, F.sequence(F.greatest(last + k - words, F.lit(0)), first)).otherwise(F.array().cast("array<int>"))
+
+        return F.when(F.size(at) >= need, F.array_distinct(F.flatten(F.transform(F.sequence(need - 1, F.size(at) - 1), around))))
+
+    return let(F.sort_array(at), lambda at: let(need, lambda need: held(at, need)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, start, words, similarity): the best window of each document for each item it holds."""
     items = require(benchmark, item_col, item_text).select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("iw")).filter(F.size("iw") > 0)
@@ -79,24 +93,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
     items = items.withColumn("bag", shingle_hashes(F.col("iw"), F.col("k"))).withColumn("bits", simhash(F.col("bag"))).drop("iw").distinct()
     items = materialise(items, "items")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most `shingle` numbers
-    places = bounded(items.select("words", "k", F.posexplode("bag").alias("q", "h")).distinct(), "item-shingles")
+    places = bounded(items.select("words", "k", F.explode("bag").alias("h")).distinct(), "item-shingles")
 
     texts = require(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     found = None
     for k in sizes:
         w = words(F.col("text"))
         hashes = texts.select("id", "row", F.posexplode(shingle_hashes(w, k)).alias("p", "h"))
-        hit = hashes.join(places.filter(F.col("k") == k), "h").select("id", "row", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "words", "k")
+        hit = hashes.join(places.filter(F.col("k") == k), "h").select("id", "row", "p", "words", "k")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        found = texts.select("id", "row", F.lit(0).alias("start"), F.lit(0).alias("words"), F.lit(0).alias("k")).limit(0)
-    starts = materialise(found.distinct(), "starts")
+        found = texts.select("id", "row", F.lit(0).alias("p"), F.lit(0).alias("words"), F.lit(0).alias("k")).limit(0)
+    hits = found.groupBy("id", "row", "words", "k").agg(F.collect_set("p").alias("at"))  # no more than the document has shingles
+    starts = hits.select("id", "row", "words", "k", placed(F.col("at"), F.col("words"), F.col("k"), threshold).alias("starts"))
+    starts = materialise(starts.filter(F.size("starts") > 0), "starts")
 
     # the windows' own shingles: only texts that have one are read again
     holders = bounded(starts.select(F.col("id").alias("id2"), F.col("row").alias("row2")).distinct(), "holders")
     read = texts.join(holders, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left_semi").dropDuplicates(["id", "row"])
     read = read.select("id", "row", words(F.col("text")).alias("w"))
-    per_doc = starts.groupBy("id", "row").agg(F.collect_set(F.struct("start", "words", "k")).alias("starts"))  # no more than the document has shingles, times items' sizes
+    per_doc = starts.groupBy("id", "row").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), "words", "k")))).alias("starts"))  # no more than the document has shingles, times items' sizes
     joined = per_doc.withColumnsRenamed({"id": "id2", "row": "row2"}).join(read, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")))
     windows = joined.select("id", "row", "w", F.explode("starts").alias("s")).select("id", "row", "s.*", F.slice("w", F.col("s.start") + 1, F.col("s.words")).alias("ww"))
     windows = windows.withColumn("bag", shingle_hashes(F.col("ww"), F.col("k"))).filter(F.size("bag") > 0).drop("ww").withColumn("bits", simhash(F.col("bag")))

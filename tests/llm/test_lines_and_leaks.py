@@ -146,6 +146,21 @@ def test_leaks_equal_all_windows(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted({i for i, _ in data} - {i for i, _ in want}) and left.columns == [c.split()[0] for c in LEAK_COLS.split(", ")]
 
 
+@pytest.mark.parametrize("size, end, inserted", [(58, 0, 2), (64, 0, 2), (120, 2, 6), (30, 0, 1), (58, 0, 0)])
+def test_windows_between_alignments(spark, size, end, inserted):
+    item = [f"i{j}" for j in range(size)]
+    own = list(item)
+    own[end], own[-1 - end] = "x", "y"
+    own[size // 2 : size // 2] = ["new"] * inserted
+    fill = " ".join(f"f{j}" for j in range(80))
+    data = [(1, f"{fill} {' '.join(own)} {fill}"), (2, " ".join(own)), (3, " ".join(own[:-4]))]
+    items = [(7, " ".join(item)), (8, " ".join(item[::-1]))]
+    got = decontaminate.report(leak_docs(spark, *data), bench(spark, *items)).collect()
+    want = plain_leaks(data, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert (1, 7) in want or size == 30
+
+
 def test_empty_tables_and_repeated_rows(spark):
     d, b = leak_docs(spark, (1, ITEM), (1, ITEM)), bench(spark, (1, ITEM))
     assert decontaminate.report(d, b).count() == 2 and decontaminate.clean(d, b).count() == 0
