@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context.
 
-A candidate is a whole run of secret characters, at least ``LEAST`` long and with a digit. The network sees
-up to 64 of its characters and 32 on each side, with filters pooled apart over candidate and context. It is
+A candidate is a whole run of secret characters, at least ``LEAST`` long. The network sees 64 of its characters and
+32 on each side, with filters pooled apart over candidate and context. It is
 trained on labelled findings: texts written by ``findings()`` from formats of keys, passwords and tokens,
 and of things that look like them (addresses, hosts, numbers, versions, paths, dates, identifiers,
-checksums named as such). Its logit is calibrated on findings kept apart, and the threshold is the highest
-at which recall on them is at least ``RECALL``. Candidates that overlap a pattern's span are not scored;
+long words, rules, checksums named as such). Its logit is calibrated on findings kept apart, and the threshold is the highest
+at which recall on them is at least ``RECALL``; recall is of the secrets in whole texts, so one that the search for
+candidates does not give counts as missed. Candidates that overlap a pattern's span are not scored;
 the network only ever adds spans, of kind ``model``.
 
 Nulls count as empty texts, without spans. A null id is carried; repeated rows are scanned each. Texts of
@@ -34,8 +35,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a shorter run is dropped whole, so the lea
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 KINDS = ("assign", "access", "hex", "model")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+")
 LEAST, SIDE, BODY = 12, 32, 64
+SECRET = "A-Za-z0-9+/_.=-"
+CANDIDATE = re.compile(rf"[{SECRET}]{{{LEAST},}}")
 WIDTH = 2 * SIDE + BODY
 KERNEL, STRIDE = 5, 1
 RECALL, FINDINGS, EPOCHS, SEED = 0.95, 6000, 4, 11
@@ -53,8 +55,6 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     """Runs to score that overlap no span of ``taken``."""
     out, k, reach = [], 0, -1
     for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() < LEAST:
-            continue
         while k < len(taken) and taken[k][0] < m.end():
             reach = max(reach, taken[k][2])
             k += 1
@@ -64,13 +64,17 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def window(text: str, start: int, end: int) -> tuple[bytes, int]:
-    """Fixed-width bytes of a candidate in its context, and its length there. Long candidates show both ends."""
-    body = text[start:end]
-    if len(body) > BODY:
-        body = body[: BODY // 2] + body[-(BODY // 2) :]
+    """Bytes of a whole candidate in its context, and its length."""
     left, right = text[max(0, start - SIDE) : start], text[end : end + SIDE]
-    line = left.rjust(SIDE, "\0") + body + right
-    return line.encode("latin-1", "replace").ljust(WIDTH, b"\0"), len(body)
+    line = left.rjust(SIDE, "\0") + text[start:end] + right.ljust(SIDE, "\0")
+    return line.encode("latin-1", "replace"), end - start
+
+
+def parts(line: bytes, length: int) -> list[tuple[bytes, int]]:
+    """The fixed-width window of a candidate. Long candidates show both ends."""
+    if length > BODY:
+        line = line[: SIDE + BODY // 2] + line[SIDE + length - BODY // 2 :]
+    return [(line[:WIDTH].ljust(WIDTH, b"\0"), min(BODY, length))]
 
 
 class Scanner:
@@ -78,11 +82,14 @@ class Scanner:
         self.net, self.scale, self.threshold = net, scale, threshold
 
     def logits(self, windows: list[tuple[bytes, int]]) -> np.ndarray:
-        out = []
-        for at in range(0, len(windows), 1024):
-            x, masks = arrays(windows[at : at + 1024])
+        """The largest logit over the parts of each window."""
+        cut = [parts(*w) for w in windows]
+        flat, out = [p for ps in cut for p in ps], []
+        for at in range(0, len(flat), 1024):
+            x, masks = arrays(flat[at : at + 1024])
             out.append(self.net.head(np.hstack([p for p, _ in self.net.pool(x, masks)]).astype(np.float32))[1])
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
+        first = np.cumsum([0, *(len(ps) for ps in cut)])[:-1]
+        return np.maximum.reduceat(np.concatenate(out), first) if out else np.zeros(0, np.float32)
 
     def probabilities(self, windows: list[tuple[bytes, int]]) -> np.ndarray:
         return sigmoid(self.scale[0] * self.logits(windows) + self.scale[1])
@@ -107,6 +114,13 @@ def arrays(windows: list[tuple[bytes, int]]) -> tuple[np.ndarray, list[np.ndarra
     return x, [inside, ~inside]
 
 
+#: Parts of long ordinary words, and short words.
+HEADS = ("inter", "counter", "trans", "under", "over", "electro", "dis", "re", "un", "multi", "mis", "super", "photo", "micro", "con", "pre", "in", "sub")
+STEMS = ("nation", "govern", "communic", "present", "organ", "respons", "charact", "develop", "establish", "administr", "struct", "form", "particip", "consider", "form", "product", "ident", "know", "standard", "collect")
+TAILS = ("ization", "ational", "ically", "mentally", "ativeness", "ibility", "eristic", "ments", "ational", "edness", "ification", "ingly", "istration", "iveness")
+COMMON = ("time", "people", "water", "house", "correct", "horse", "battery", "staple", "river", "garden", "winter", "yellow", "market", "window", "letter", "summer", "orange", "silver", "master", "dragon", "monkey", "simple", "config", "source", "server", "client", "handler", "factory", "manager", "local", "share", "user", "main", "test", "data", "docs", "lib", "usr", "home", "build")
+
+
 def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     """Labelled findings (text, start, end, 1 for a secret): keys and look-alikes set in prose, code and settings."""
     rng = np.random.default_rng(seed)
@@ -124,9 +138,31 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     def prose(k: int) -> str:
         return " ".join(word() for _ in range(k))
 
+    def cased(w: str) -> str:
+        return (w, w.capitalize(), w.upper())[rng.integers(3)]
+
     def number(lo: int, hi: int) -> str:
         return str(rng.integers(lo, hi))
 
+    secret_characters, phrases = lower + upper + digits + "+/_.=-", set()
+
+    def title() -> str:
+        return long_word().capitalize() if rng.random() < 0.3 else str(rng.choice(COMMON)).capitalize()
+
+    def phrase() -> str:
+        body = pick("", "-").join(str(rng.choice(COMMON)).capitalize() for _ in range(rng.integers(3, 6)))
+        phrases.add(body)
+        return body
+
+    def long_word() -> str:
+        return pick(*HEADS) + pick(*STEMS) + pick(*TAILS)
+
+    def segment() -> str:
+        return [word, long_word, lambda: str(rng.choice(COMMON)), lambda: word() + pick("-", "_", ".") + number(1, 99)][rng.integers(4)]()
+
+    def path(k: int) -> str:
+        return "/".join(segment() for _ in range(k))
+
     def secret() -> tuple[str, str]:
         """What stands before it, and the secret."""
         mixed = lower + upper + digits
@@ -138,12 +174,19 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
             lambda: run(upper + digits, 16, 32),
             lambda: run(mixed, 8, 12) + pick("_", "-", ".") + run(mixed, 8, 12),
             lambda: "0x" + run("0123456789ABCDEF", 32, 64),
-        ][rng.integers(7)]()
-        if not any(c in digits for c in body) or len(body) < LEAST:
+            lambda: run(lower + upper, 14, 40),
+            lambda: pick("ghp_", "sk-", "glpat-", "key-") + run(lower + upper, 16, 40),
+            phrase,
+        ][rng.integers(10)]()
+        if len(body) < LEAST:
             body += run(digits, 6)
+        if body in phrases:
+            return pick("pwd=", "pwd: ", "login with ", "credential = ", "passphrase: ", "pass="), body
         lead = pick("pwd=", "auth: ", "Authorization: Bearer ", "credential = ", 'private_key: "', "access_key=", "-H 'X-Key: ", "client_id ", "login with ", "use ", "", "", "")
         return lead, body
 
+    often = [*range(19), 10, 10, 10, 12, 12, 13, 13, 13]  # checksums, names and words are the nearest to secrets
+
     def harmless() -> tuple[str, str]:
         lead, body = [
             lambda: (pick("", "from ", "mailto "), f"{word()}.{number(1, 99)}"),
@@ -159,7 +202,13 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
             lambda: (pick("sha1:", "checksum ", "commit "), run("0123456789ABCDEF", 40)),
             lambda: (pick("", "see "), pick("--", "==", "..") * int(rng.integers(4, 20)) + number(1, 9)),
             lambda: (pick("name ", "", "class "), "".join(word().capitalize() for _ in range(3)) + number(1, 99)),
-        ][rng.integers(13)]()
+            lambda: (pick("", "the ", "of ", "use ", "with "), cased(long_word())),
+            lambda: (pick("", "a ", "from "), cased(str(rng.choice(COMMON))) + "-" + long_word() + pick("", ".", "...")),
+            lambda: (pick("", " ", "\n"), pick("-", "=", ".", "_", "+", "/") * int(rng.integers(12, 90))),
+            lambda: (pick("", "path ", "see ", "in ", "http:", "https:"), pick("/", "//") + path(int(rng.integers(2, 16))) + pick("", "/", ".txt", ".")),
+            lambda: (pick("class ", "call ", "name ", "import "), pick("", "_", ".").join(title() for _ in range(int(rng.integers(2, 5))))),
+            lambda: (pick("", "import ", "set "), pick("_", ".", "-").join(segment() for _ in range(int(rng.integers(2, 6))))),
+        ][often[rng.integers(len(often))]]()
         return lead, body if len(body) >= LEAST else body + "." + word() + word() + word()
 
     out = []
@@ -169,7 +218,12 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
         quote = pick('"', "'", "", "", "")
         head = before + pick(" ", "\n", " ", "") * bool(before) + lead + quote
         tail = quote + pick(" ", ",", "\n", ". ", "@" if not i % 2 and rng.random() < 0.3 else " ") + after
-        out.append((head + body + tail, len(head), len(head) + len(body), i % 2))
+        text, start, end = head + body + tail, len(head), len(head) + len(body)
+        while start and text[start - 1] in secret_characters:
+            start -= 1
+        while end < len(text) and text[end] in secret_characters:
+            end += 1
+        out.append((text, start, end, i % 2))  # the whole run, as scans see it
     return out
 
 
@@ -177,7 +231,7 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
 def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Scanner:
     """The network after training on five sixths of ``n`` findings, calibrated and given its threshold on the rest."""
     rows = findings(n, seed)
-    windows, y = [window(t, s, e) for t, s, e, _ in rows], np.array([r[3] for r in rows], float)
+    windows, y = [parts(*window(t, s, e)) for t, s, e, _ in rows], np.array([r[3] for r in rows], float)
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)
     kept, used = order[: n // 6], order[n // 6 :]
@@ -186,9 +240,14 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Scan
         rng.shuffle(used)
         for k in range(0, len(used), 64):
             own = used[k : k + 64]
-            x, masks = arrays([windows[i] for i in own])
+            flat = [p for i in own for p in windows[i]]
+            owner = np.repeat(np.arange(len(own)), [len(windows[i]) for i in own])
+            x, masks = arrays(flat)
             pools = net.pool(x, masks)
             features = np.hstack([p for p, _ in pools]).astype(np.float32)
+            by_logit = np.lexsort((net.head(features)[1], owner))
+            most = by_logit[np.append(np.flatnonzero(np.diff(owner)), len(owner) - 1)]  # of each finding the part with the largest logit
+            x, features, pools = x[most], features[most], [(p[most], at[most]) for p, at in pools]
             h, z = net.head(features)
             g = net.zero()
             d = net.head_gradient(features, h, ((sigmoid(z) - y[own]) / len(own)).astype(np.float32), g)
@@ -196,13 +255,16 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Scan
                 net.pool_gradient(x, p, at, d[:, j * net.filters : (j + 1) * net.filters], g)
             net.step(g, 4e-3 * (1 - epoch / EPOCHS))
     scanner = Scanner(net, (1.0, 0.0), 0.5)
-    z, t = scanner.logits([windows[i] for i in kept]).astype(float), y[kept]
+    spans = [base_spans(rows[i][0]) for i in kept]
+    unscored = np.array([any(b < rows[i][2] and rows[i][1] < e for b, _, e in own) for i, own in zip(kept, spans)])
+    seen = np.array([rows[i][1:3] in candidates(rows[i][0], own) for i, own in zip(kept, spans)])
+    z, t = scanner.logits([window(*rows[i][:3]) for i in kept]).astype(float), y[kept]
     a, b = 1.0, 0.0
     for _ in range(200):  # calibration: one scale and shift by gradient descent
         e = sigmoid(a * z + b) - t
         a, b = a - 0.05 * (e * z).mean(), b - 0.05 * e.mean()
     scanner.scale = (float(a), float(b))
-    positive = np.sort(sigmoid(a * z[t == 1] + b))
+    positive = np.sort((sigmoid(a * z + b) * seen)[(t == 1) & ~unscored])  # the patterns' own are not the network's
     scanner.threshold = float(positive[int((1 - recall) * len(positive))])
     return scanner
 

@@ -160,3 +160,18 @@ def test_scan_rows(spark):
     assert got[None].spans == "assign:0:22,hex:6:22" and got[None].base_sha256 == hashlib.sha256(b"assign:0:22,hex:6:22").hexdigest()
     assert (got[2].spans, got[3].spans, got[5].spans) == ("", "", "") and got[None].n_hex == 1
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, secret", [("pwd=CorrectHorseBatteryStaple", "pwd=CorrectHorseBatteryStaple"), ("Authorization: Bearer QwErTyUiOpAsDfGhJkLz", "QwErTyUiOpAsDfGhJkLz")])
+def test_secrets_without_digits(text, secret):
+    start = text.index(secret)
+    assert (start, 3, start + len(secret)) in secrets.trained().scan([text])[0]
+
+
+def test_recall_over_whole_texts_with_candidate_search():
+    rows = secrets.findings(1500, seed=321)
+    spans = secrets.trained().scan([r[0] for r in rows])
+    hit = np.array([any(s < r[2] and r[1] < e and (r[3] or k == 3) for s, k, e in own) for r, own in zip(rows, spans)])
+    y = np.array([r[3] for r in rows])
+    assert hit[y == 1].mean() >= 0.92 and hit[y == 0].mean() <= 0.07
+    assert any(not any(c.isdigit() for c in r[0]) for r in rows if r[3])
