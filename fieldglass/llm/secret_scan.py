@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context.
 
 A candidate is a whole run of secret characters, at least ``LEAST`` long. The network sees 64 of its characters and
-32 on each side, with filters pooled apart over candidate and context. It is
+32 on each side, with filters pooled apart over candidate and context; a longer candidate is seen in windows that
+overlap by half, and the largest logit counts, in training as in scans. It is
 trained on labelled findings: texts written by ``findings()`` from formats of keys, passwords and tokens,
 and of things that look like them (addresses, hosts, numbers, versions, paths, dates, identifiers,
 long words, rules, checksums named as such). Its logit is calibrated on findings kept apart, and the threshold is the highest
@@ -71,10 +72,10 @@ def window(text: str, start: int, end: int) -> tuple[bytes, int]:
 
 
 def parts(line: bytes, length: int) -> list[tuple[bytes, int]]:
-    """The fixed-width window of a candidate. Long candidates show both ends."""
-    if length > BODY:
-        line = line[: SIDE + BODY // 2] + line[SIDE + length - BODY // 2 :]
-    return [(line[:WIDTH].ljust(WIDTH, b"\0"), min(BODY, length))]
+    """Fixed-width windows over a candidate that overlap by half, the last one at its end; one for a short candidate."""
+    last = max(0, length - BODY)
+    at = [*range(0, last, BODY // 2), last]
+    return [(line[o : o + WIDTH].ljust(WIDTH, b"\0"), min(BODY, length)) for o in at]
 
 
 class Scanner:
@@ -163,6 +164,11 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     def path(k: int) -> str:
         return "/".join(segment() for _ in range(k))
 
+    def within() -> str:
+        """A token in the middle of a longer run."""
+        token = pick("ghp_", "gho_", "sk-", "glpat-", "npm_", "") + run(lower + upper + digits, 24, 36)
+        return pick("/", "", "//") + path(int(rng.integers(2, 8))) + pick("/", "/key=", "=") + token + "/" + path(int(rng.integers(2, 8)))
+
     def secret() -> tuple[str, str]:
         """What stands before it, and the secret."""
         mixed = lower + upper + digits
@@ -177,7 +183,8 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
             lambda: run(lower + upper, 14, 40),
             lambda: pick("ghp_", "sk-", "glpat-", "key-") + run(lower + upper, 16, 40),
             phrase,
-        ][rng.integers(10)]()
+            within,
+        ][rng.integers(11)]()
         if len(body) < LEAST:
             body += run(digits, 6)
         if body in phrases:

@@ -168,6 +168,25 @@ def test_secrets_without_digits(text, secret):
     assert (start, 3, start + len(secret)) in secrets.trained().scan([text])[0]
 
 
+def test_token_in_the_middle_of_a_long_run():
+    path = "/srv/app/config/environments/production/services/keys/{}more/path/segments/for/the/whole/application/tree"
+    held = path.format("ghp_9aKd82LmQ0zXcVbN4tYw7RsE1uPo/")
+    plain, found = secrets.trained().scan([path.format(""), held])
+    assert found == [(0, 3, len(held))] and plain == []
+
+
+def test_every_character_of_a_candidate_is_seen():
+    for n in (12, 63, 64, 65, 96, 97, 400):
+        text = "left " + "".join(random.Random(n).choices("abcdefghij", k=n)) + " right"
+        seen, at = set(), 0
+        for line, length in secrets.parts(*secrets.window(text, 5, 5 + n)):
+            assert len(line) == secrets.WIDTH
+            body = line[secrets.SIDE : secrets.SIDE + length].decode()
+            at = text.index(body, at)
+            seen |= set(range(at, at + length))
+        assert seen == set(range(5, 5 + n))
+
+
 def test_recall_over_whole_texts_with_candidate_search():
     rows = secrets.findings(1500, seed=321)
     spans = secrets.trained().scan([r[0] for r in rows])
