@@ -574,11 +574,11 @@ def stream_fold(spark, sf_dir):
 
 @query()
 def simulate_candidates(spark, sf_dir):
-    """Ten candidates of a twelve-team draft, two hundred drafts each. Seeded, so rows repeat."""
+    """Ten candidates of a twelve-team draft over the whole pool, two hundred drafts each. Seeded, so rows repeat."""
     from fieldglass.plans import simulate
 
     t = Tables(spark, sf_dir)
-    players = pool(t).orderBy("adp").limit(300).collect()  # a draft's pool is some hundred players whatever the corpus
+    players = pool(t).orderBy("adp").collect()  # all: the user's weighted picks give every player a chance
     available = {str(p["player_id"]): {"player_id": str(p["player_id"]), "position": p["position"], "projected_points": p["projected_points"] / 30, "adp": float(i + 1), "adp_std": 4.0} for i, p in enumerate(players)}
     managers = tuple(league.Manager(f"m{i}", f"m{i}", i, i == 5) for i in range(1, 13))
     state = league.DraftState(league.League(12, league.RosterConfig(def_=0, bench=2)), managers, available)

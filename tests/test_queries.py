@@ -14,6 +14,14 @@ def test_simulation_query_repeats_itself(spark):
     assert a == b and len(a) == 10 and all(r.n_simulations == 200 for r in a)
 
 
+def test_simulation_takes_the_whole_pool(spark, monkeypatch):
+    from fieldglass.plans import simulate
+
+    monkeypatch.setattr(simulate, "simulate_candidates", lambda spark, snap, candidates, n, chunk: snap)
+    folder = "/root/testdata/sf0.01"
+    assert len(QUERIES["simulate_candidates"](spark, folder).ids) == spark.read.parquet(f"{folder}/customer.parquet").count() > 300
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
