@@ -9,10 +9,10 @@ The reader parts the files at every magic line, in splits. Each task emits, for
 and that of the record its header declares (so its successor), and what the record says if it ends where
 the next candidate begins. Per file, pointer jumping over successors keeps what the chain from the file's
 start reaches; a magic line inside a payload starts no record. Records that hold such lines are put together
-again from their parts, found by offset.
+again from their parts, found by their numbers: no more of a file than those records moves.
 
-A null html is an empty payload; a null url is written as ``about:blank``, and control characters in urls
-are percent-encoded. Rows that repeat the least id of their payload are responses too, as are rows with a
+A null html is an empty payload; a null url is written as ``about:blank``, and controls, spaces and line
+separators of any kind in urls are percent-encoded. Only CRLF ends a header line, and only a record's own header is read. Rows that repeat the least id of their payload are responses too, as are rows with a
 null id, to which nothing refers. Payloads of any length are kept whole. An empty table gives no records.
 Bytes before a file's first magic, or after the chain breaks, are no records. Other columns are not read.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, require
@@ -57,11 +57,21 @@ def uuid_of(*parts: Column) -> Column:
     return F.regexp_replace(F.md5(F.concat_ws("/", *parts)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
+#: What may end a line, or is read as a space, in any reader: C0 and C1 controls, space, delete, and Unicode's line ends.
+UNSAFE = "".join(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x2028, 0x2029, 0xFEFF]))
+
+
+def one_line(url: Column) -> Column:
+    """``url`` with every control, space and line separator percent-encoded, byte by byte of its UTF-8."""
+    safe = url
+    for c in UNSAFE:
+        safe = F.replace(safe, F.lit(c), F.lit("".join(f"%{b:02X}" for b in c.encode("utf-8"))))
+    return F.when(url.rlike("[" + "".join(f"\\u{ord(c):04X}" for c in UNSAFE) + "]"), safe).otherwise(url)
+
+
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """One record per row under ``path``."""
-    url = F.coalesce(pages[url_col], F.lit("about:blank"))
-    for c in range(0x21):
-        url = F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}"))
+    url = one_line(F.coalesce(pages[url_col], F.lit("about:blank")))
     rows = require(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "n": F.octet_length("html").cast("long")})
     again = materialise(revisits(rows.select("id", "digest", "n"), least_bytes), "revisits")
@@ -83,9 +93,18 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     rows.join(again, ["id", "digest"], "left").select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
+def field_of(header: Column, name: str) -> Column:
+    """A header's first field of that name, null where it is missing or empty. Lines end with CRLF and with nothing else."""
+    return F.nullif(F.regexp_extract(header, rf"(?i)(?:\A|\r\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
 def field(name: str) -> Column:
-    """A header field of the candidate, null where it is missing."""
-    return F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    return field_of(F.col("header"), name)
+
+
+def number(text: Column) -> Column:
+    """A whole number, null for anything else."""
+    return F.when(text.rlike(r"\A-?[0-9]{1,18}\z"), text).try_cast("long")
 
 
 def parts_of(spark: SparkSession, path: str) -> DataFrame:
@@ -100,20 +119,20 @@ SAID = "file string, split long, seq long, size long, declared long, record_type
 def parsed(value: DataFrame) -> DataFrame:
     """Adds to rows with a whole or cut record in ``value`` what its headers and payload say; columns as in SAID."""
     whole = value.withColumns({"size": F.octet_length("value").cast("long"), "header": F.substring_index("value", GAP, 1)})
-    whole = whole.withColumns({"length": F.expr("try_cast(regexp_extract(header, '(?im)^Content-Length:[ \\\\t]*([0-9]+)', 1) AS long)"), "record_type": field("WARC-Type"), "at": F.octet_length("header") + 4})
-    http = F.substring_index("value", GAP, 2)
+    whole = whole.withColumns({"length": number(field("Content-Length")), "record_type": field("WARC-Type"), "at": F.octet_length("header") + 4})
+    heads = F.substring_index("value", GAP, 2)  # the record's own and, in its block, the HTTP head
     revisit = F.col("record_type") == "revisit"
-    whole = whole.withColumns({"declared": F.col("at") + F.col("length") + 4, "body_at": F.octet_length(http) + 4})
+    whole = whole.withColumns({"declared": F.col("at") + F.col("length") + 4, "body_at": F.octet_length(heads) + 4})
     payload = F.substring(F.col("value").cast("binary"), F.col("body_at") + 1, F.greatest(F.col("declared") - 4 - F.col("body_at"), F.lit(0)).cast("int"))
     is_whole = F.col("declared") == F.col("size")
     said = F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")
-    http_length = F.expr(f"try_cast(regexp_extract(substring_index(value, '{GAP}', 2), '(?ims)^HTTP/.*^Content-Length:[ \\\\t]*([0-9]+)', 1) AS long)".replace("\r", "\\r").replace("\n", "\\n"))
+    http = F.substring(heads, F.length("header") + 5, F.length(heads))
     whole = whole.withColumn("payload", F.when(is_whole & ~revisit, payload))
     return whole.withColumns(
         {
-            "id": F.expr("try_cast(regexp_extract(header, '(?im)^X-Page:[ \\\\t]*(-?[0-9]+)', 1) AS long)"),
-            "refers_to": F.expr("try_cast(regexp_extract(header, '(?im)^X-Refers-To-Page:[ \\\\t]*(-?[0-9]+)', 1) AS long)"),
-            "payload_bytes": F.when(revisit, http_length).otherwise(F.octet_length("payload").cast("long")),
+            "id": number(field("X-Page")),
+            "refers_to": number(field("X-Refers-To-Page")),
+            "payload_bytes": F.when(revisit, number(field_of(http, "Content-Length"))).otherwise(F.octet_length("payload").cast("long")),
             "payload_digest": F.when(revisit, said).otherwise(base32_sha1(F.col("payload"))),
             "said_digest": said,
             "target_uri": field("WARC-Target-URI"),
@@ -142,6 +161,8 @@ def chained(rows: pd.DataFrame) -> pd.DataFrame:
     keep = reached[:n] & ~broken & (np.arange(n) > 0)
     out = rows[keep].copy()
     out["offset"] = start[keep] - len(MAGIC)
+    seq, ends = rows["seq"].to_numpy(), jump[:n][keep]
+    out["parts"] = [seq[i:j] if j > i + 1 else None for i, j in zip(np.flatnonzero(keep), ends)]
     return out
 
 
@@ -149,19 +170,18 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record under ``path``: file, offset, record_type, id, refers_to, payload_bytes, payload_digest, said_digest, target_uri."""
     names = [c.split()[0] for c in SAID.split(", ")]
     candidates = parsed(parts_of(spark, path)).select(*names)
-    kept = materialise(candidates.groupBy("file").applyInPandas(chained, f"{SAID}, offset long"), "records")
+    kept = materialise(candidates.groupBy("file").applyInPandas(chained, f"{SAID}, offset long, parts array<long>"), "records")
     out = ["file", "offset", *names[5:]]
-    whole = kept.filter("declared = size").select(*out)
-    cut = kept.filter("declared > size")
+    whole = kept.filter("parts IS NULL").select(*out)
+    cut = kept.filter("parts IS NOT NULL")
     if cut.isEmpty():
         return whole
-    # records with magic lines inside: their files once more, with offsets and texts
-    spans = materialise(cut.select("file", (F.col("offset") + len(MAGIC)).alias("lo"), (F.col("offset") + len(MAGIC) + F.col("declared")).alias("hi")), "cut")
-    order = Window.partitionBy("file").orderBy("split", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts_of(spark, path).join(spans.select("file").distinct(), "file", "left_semi").withColumn("start", F.coalesce(F.sum(F.octet_length("value") + len(MAGIC)).over(order), F.lit(0)))
-    inside = placed.join(spans, "file").filter("start >= lo AND start < hi")
-    joined = inside.groupBy("file", F.col("lo").alias("start")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-    again = parsed(joined.select("file", F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("seq"), "value", (F.col("start") - len(MAGIC)).alias("offset")))
+    # records with magic lines inside: only their own parts move, found by their numbers in the same scan
+    wanted = cut.select(F.col("file").alias("own"), "offset", F.explode("parts").alias("seq"))
+    inside = parts_of(spark, path).join(wanted, "seq").filter("file = own")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), MAGIC)  # one record
+    joined = inside.groupBy("file", "offset").agg(text.alias("value"))
+    again = parsed(joined).withColumn("record_type", F.when(F.col("declared") == F.col("size"), F.col("record_type")).otherwise(F.raise_error(F.lit("WARC: a record's parts do not fit together"))))
     return whole.unionByName(again.select(*out))
 
 

@@ -105,3 +105,25 @@ def test_a_broken_chain_ends_there(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "cut.warc").write_bytes(data[:-9])
     assert sorted(r.id for r in warc.records(spark, str(tmp_path / "x")).collect()) == [0, 1, 2]
+
+
+def test_urls_can_not_forge_headers(spark, rows):
+    """Line ends of any kind in a url neither give a record another id nor break the chain."""
+    urls = [f"http://b/{c}{tail}" for c in ("\x85", "\u2028", "\u2029", "\x7f", "\x0b", "\x0c", "\x1c", "\xa0", "\r\n", "\n") for tail in ("X-Page:77", "Content-Length:3", "WARC-Type: revisit")]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)] + [(1000, "u", "x\u2028Content-Length: 3\r\n\r\nX-Page: 5")], "page_id long, url string, html string")
+    got = rows(warc.round_trip(pages.coalesce(1)).select("id", "record_type", "payload_bytes"))
+    assert got == sorted([(i, "response", len(f"<p>{i}</p>")) for i in range(len(urls))] + [(1000, "response", len("x\u2028Content-Length: 3\r\n\r\nX-Page: 5".encode()))], key=repr)
+
+
+def test_long_payloads_and_those_cut_by_splits(spark, tmp_path, rows):
+    """Payloads of megabytes, with and without magic lines, through splits far smaller than they are."""
+    big = ("é" * 700_000, EVIL * 4_000, "")
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate(big)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.write_warc(pages, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = rows(warc.records(spark, path).select("id", "payload_bytes", "payload_digest"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted([(i, len(h.encode()), digest(h)) for i, h in enumerate(big)], key=repr)
