@@ -18,15 +18,15 @@ def _source(df: DataFrame, pfr: str, name: str, college: str) -> DataFrame:
     return df.select(F.col(pfr).alias("s_pfr"), F.col(name).alias("s_name"), name_key(name).alias("s_key"), F.col(college).alias("s_college"), college_key(college).alias("s_college_key"))
 
 
-def _absorb(known: DataFrame, source: DataFrame) -> DataFrame:
-    """Update known players from a source, then add its players that match none of the updated ones."""
+def _absorb(known: DataFrame, source: DataFrame, inserted_college: str) -> DataFrame:
+    """Update known players from a source, then add its players that match none of the updated ones, with that column as their college."""
     same_id = [(F.col("pfr_id"), F.col("s_pfr"))]
     same_name = [(F.col("merge_name"), F.col("s_key")), (F.col("college"), F.col("s_college_key"))]
     named = source.filter(F.col("s_name").isNotNull() & F.col("s_pfr").isNotNull())
     updated = enrich(known, named, {"pfr_id": F.col("s_pfr"), "college": F.col("s_college_key")}, [same_id, same_name], F.col("s_pfr"))
     new = source.filter(F.col("s_name").isNotNull()).select(
         F.lit(None).cast("string").alias("gsis_id"), F.col("s_pfr").alias("pfr_id"), F.col("s_name").alias("name"), F.col("s_key").alias("merge_name"),
-        F.lit(None).cast("string").alias("birthdate"), F.col("s_college").alias("college"), F.col("s_college_key").alias("__match"),
+        F.lit(None).cast("string").alias("birthdate"), F.col(inserted_college).alias("college"), F.col("s_college_key").alias("__match"),
     )
     by_id = [(F.col("pfr_id"), F.col("pfr_id"))]
     by_name = [(F.col("merge_name"), F.col("merge_name")), (F.col("__match"), F.col("college"))]
@@ -34,12 +34,15 @@ def _absorb(known: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def unified_players(players: DataFrame, combine: DataFrame, draft_picks: DataFrame) -> DataFrame:
-    """gsis_id, pfr_id, name, merge_name, birthdate, college of every player of three sources, each once."""
+    """gsis_id, pfr_id, name, merge_name, birthdate, college of every player of three sources, each once.
+
+    Players known from the combine alone come in with their college's normal name, those of the draft with the name as it is written.
+    """
     base = players.filter(F.col("display_name").isNotNull()).select(
         "gsis_id", "pfr_id", F.col("display_name").alias("name"), name_key("display_name").alias("merge_name"), F.col("birth_date").cast("string").alias("birthdate"), college_key("college_name").alias("college")
     )
-    known = _absorb(base.distinct(), _source(combine, "pfr_id", "player_name", "school"))
-    return _absorb(known, _source(draft_picks, "pfr_player_id", "pfr_player_name", "college")).distinct()
+    known = _absorb(base.distinct(), _source(combine, "pfr_id", "player_name", "school"), "s_college_key")
+    return _absorb(known, _source(draft_picks, "pfr_player_id", "pfr_player_name", "college"), "s_college").distinct()
 
 
 def with_ids(players: DataFrame) -> DataFrame:

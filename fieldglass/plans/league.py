@@ -15,7 +15,7 @@ SCORING = ("ppr", "half_ppr", "standard")
 
 @dataclass(frozen=True)
 class Scoring:
-    """Points for each kind of play; yards are counted per point."""
+    """Points for each kind of play; yards are counted per point. The defaults."""
 
     passing_yards_per_point: float = 25.0
     passing_td: float = 4.0
@@ -40,6 +40,8 @@ class Scoring:
 
 @dataclass(frozen=True)
 class RosterConfig:
+    """Places of a roster. The defaults."""
+
     qb: int = 1
     rb: int = 2
     wr: int = 3
@@ -140,10 +142,9 @@ class DraftState:
         return next(m for m in self.managers if m.draft_slot == slot)
 
     def picks_until_user(self) -> int:
-        """Picks by others before the user's next one after the current; 0 if there is none."""
-        ahead = range(self.current_pick + 1, self.league.total_picks + 1)
-        found = next((p for p in ahead if self.on_the_clock(p).is_user), None)
-        return 0 if found is None else found - self.current_pick - 1
+        """Picks by others before the user is on the clock: 0 on the user's own turn, a whole round's where none is left."""
+        ahead = range(self.current_pick, self.current_pick + self.league.team_count)
+        return next((p - self.current_pick for p in ahead if self.on_the_clock(p).is_user), self.league.team_count)
 
     def apply(self, player: dict) -> DraftState:
         if self.is_complete:
@@ -164,3 +165,15 @@ def snake_order(spark: SparkSession, teams: int, rounds: int, user_slot: int | N
         return df
     df = df.withColumns({"is_user": F.col("slot") == user_slot, "at": p})
     return df.withColumn("until_user", next_true_distance("is_user", "at", [F.lit(0)])).drop("at")
+
+
+def user_turns(spark: SparkSession, teams: int, rounds: int, user_slot: int) -> DataFrame:
+    """pick, picks_until_user: the picks before the user is on the clock, 0 on the user's own turn, a whole round's at most.
+
+    In closed form: the order turns at each round's end, so the user's place is this round's, or its mirror image in the next.
+    """
+    order = snake_order(spark, teams, rounds)
+    turn = F.when(F.col("round") % 2 == 1, F.lit(user_slot)).otherwise(F.lit(teams + 1 - user_slot))
+    here = turn - F.col("in_round")
+    ahead = F.when(here >= 0, here).otherwise(teams - F.col("in_round") + (teams + 1 - turn))
+    return order.select("pick", F.least(ahead, F.lit(teams)).cast("bigint").alias("picks_until_user"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from fieldglass.plans import draft, simulate
-from fieldglass.plans.league import DraftState, League, Manager, RosterConfig, Scoring, snake_order, snake_slot
+from fieldglass.plans.league import DraftState, League, Manager, RosterConfig, Scoring, snake_order, snake_slot, user_turns
 
 
 def pool(spark, *players):
@@ -77,7 +77,7 @@ def test_state_is_immutable():
     s = state()
     t = s.apply(s.available["q1"])
     assert s.current_pick == 1 and t.current_pick == 2 and "q1" not in t.available and t.rosters["user"][0]["player_id"] == "q1"
-    assert s.picks_until_user() == 2
+    assert s.picks_until_user() == 0 and t.picks_until_user() == 2  # the user's own turn; then the other manager's two at the turn
     for _ in range(5):
         t = t.apply(next(iter(t.available.values())))
     assert t.is_complete
@@ -85,6 +85,13 @@ def test_state_is_immutable():
         t.apply({"player_id": "x"})
 
 
+def test_picks_until_the_user_is_on_the_clock(spark):
+    managers = tuple(Manager(f"m{i}", f"m{i}", i, i == 3) for i in range(1, 13))
+    at = {p: DraftState(League(12), managers, picks=tuple((k, "", "") for k in range(1, p))).picks_until_user() for p in range(1, 61)}
+    assert (at[3], at[1], at[13]) == (0, 2, 9)  # the own turn, two before it, and the first pick of a round that runs backwards
+    assert {r.pick: r.picks_until_user for r in user_turns(spark, 12, 5, 3).collect()} == at
+
+
 def test_snapshot_gaps():
     snap = simulate.snapshot(state(), {"QB": 50.0, "RB": 100.0})
     assert list(snap.owners) == [0, 1, 1, 0, 0, 1]

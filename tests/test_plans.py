@@ -30,6 +30,11 @@ def test_unified_players_update_then_insert(spark):
     assert got["Bob Ray"].college == "Boston College" and got["Dee Orr"].college == "Iowa St." and got["Dee Orr"].gsis_id is None
 
 
+def test_combine_players_meet_draft_picks_by_their_colleges_normal_name(spark):
+    got = identity.unified_players(players(spark), combine(spark, (None, "Zed", "Ohio St.")), picks(spark, ("P7", "Zed", "Ohio St."), (None, "Yan", "Ohio St."))).collect()
+    assert sorted((r.name, r.pfr_id, r.college) for r in got) == [("Yan", None, "Ohio St."), ("Zed", "P7", "Ohio State")]
+
+
 def test_mapping_is_sorted_and_duplicates_are_reported(spark):
     base = players(spark, ("G1", None, "Ann", None, None), ("G2", None, "Bob", None, None))
     m = identity.mapping_table(identity.unified_players(base, combine(spark), picks(spark)))
