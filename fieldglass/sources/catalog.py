@@ -14,66 +14,85 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldglass.functions import safe_identifier
+from fieldglass.functions import log10_or_null, safe_identifier
 
 SCHEMAS = ("nflverse", "reference", "yas", "raw_executives")
 
 
 @dataclass(frozen=True)
 class TableSpec:
-    """One stored table: where its file lies under the data folder, its logical key, and what it is mostly filtered by."""
+    """One stored table: its logical key, whether it is mostly asked by season, has a file for each season, is only stored when asked for."""
 
     schema: str
     name: str
-    file: str
-    key: str = ""
-    filters: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+    by_season: bool = False
     seasonal: bool = False
     optional: bool = False
 
+    @property
+    def file(self) -> str:
+        """Where its file lies under the data folder, without the ending."""
+        return f"{self.schema}/{self.name}"
 
-def _t(schema: str, name: str, key: str, filters: str = "", seasonal: bool = False, optional: bool = False, file: str | None = None) -> TableSpec:
-    return TableSpec(schema, name, file or f"{schema}/{name}", key, tuple(f.strip() for f in filters.split("|") if f), seasonal, optional)
 
-
-#: The tables of the catalog, their keys, and the columns they are looked up by.
+#: The tables of the catalog and their keys.
 TABLES = [
-    _t("reference", "yamplayer_mapping", "yamplayer_id", "gsis_id|pfr_id|name"),
-    _t("reference", "gm_tenures", "nflverse_code, From", "nflverse_code|Person|From, To"),
-    _t("reference", "draft_values_jimmy_johnson", "pick"),
-    _t("reference", "draft_values_rich_hill", "pick"),
-    _t("reference", "draft_values_fitzgerald_spielberger", "pick"),
-    _t("reference", "draft_values_harvard", "pick"),
-    _t("reference", "team_code_mapping", "nflverse_code"),
-    _t("nflverse", "player_ids", "gsis_id", "pfr_id|espn_id|name"),
-    _t("nflverse", "rosters", "gsis_id, season, week", "season|team, season|gsis_id|pfr_id|yamplayer_id"),
-    _t("nflverse", "player_stats", "player_id, season, week, season_type", "season, week|player_id|yamplayer_id|position|team"),
-    _t("nflverse", "combine", "pfr_id", "season|yamplayer_id|pos|season, pos"),
-    _t("nflverse", "draft_picks", "season, pick", "season, round|gsis_id|pfr_player_id|yamplayer_id|team|college"),
-    _t("nflverse", "schedules", "game_id", "season, week|season, game_type|home_team|away_team|away_qb_id|home_qb_id"),
-    _t("nflverse", "injuries", "", "season, week|gsis_id|yamplayer_id|team|date_modified"),
-    _t("nflverse", "pbp", "game_id, play_id", "season, week|game_id|posteam|passer_id|rusher_id|receiver_id|down, ydstogo", optional=True),
-    _t("nflverse", "players", "gsis_id", "yamplayer_id|pfr_id|espn_id|display_name|status|position"),
-    _t("nflverse", "ff_playerids", "gsis_id", "yamplayer_id|pfr_id|espn_id|fantasypros_id"),
-    _t("nflverse", "trades", "", "yamplayer_id|pfr_id"),
-    _t("nflverse", "ff_rankings", "", "ecr_type|player"),
-    _t("nflverse", "ff_projections", "", "player_name|position|team"),
-    _t("nflverse", "nextgen_stats", "player_gsis_id, season, week, season_type", "season, week|yamplayer_id|player_gsis_id|player_position|team_abbr", seasonal=True),
-    _t("nflverse", "rosters_weekly", "gsis_id, season, week", "season|team, season|yamplayer_id|gsis_id|pfr_id", seasonal=True),
-    _t("nflverse", "ff_opportunity", "player_id, season, week, season_type", "season, week|yamplayer_id|player_id|position|posteam", seasonal=True),
-    _t("nflverse", "snap_counts", "pfr_player_id, season, week", "season, week|yamplayer_id|pfr_player_id|team|position", seasonal=True),
-    _t("nflverse", "officials", "official_id, game_id", "season, week|game_id|official_name|position", seasonal=True),
-    _t("nflverse", "team_stats", "season, week, team, season_type", "season, week|team, season|opponent_team", seasonal=True),
-    _t("nflverse", "ftn_charting", "nflverse_game_id, nflverse_play_id", "season, week|nflverse_game_id", seasonal=True),
-    _t("nflverse", "participation", "nflverse_game_id, play_id", "nflverse_game_id|possession_team", seasonal=True),
-    _t("yas", "yas_complete", "yamplayer_id, calculation_position, calculation_type", "calculation_type|yamplayer_id|yas_position|calculation_position|draft_year|yas_score"),
+    TableSpec("reference", "yamplayer_mapping", ("yamplayer_id",)),
+    TableSpec("reference", "gm_tenures", ("nflverse_code", "From")),
+    TableSpec("reference", "draft_values_jimmy_johnson", ("pick",)),
+    TableSpec("reference", "draft_values_rich_hill", ("pick",)),
+    TableSpec("reference", "draft_values_fitzgerald_spielberger", ("pick",)),
+    TableSpec("reference", "draft_values_harvard", ("pick",)),
+    TableSpec("reference", "team_code_mapping", ("nflverse_code",)),
+    TableSpec("nflverse", "player_ids", ("gsis_id",)),
+    TableSpec("nflverse", "rosters", ("gsis_id", "season", "week"), by_season=True),
+    TableSpec("nflverse", "player_stats", ("player_id", "season", "week", "season_type"), by_season=True),
+    TableSpec("nflverse", "combine", ("pfr_id",), by_season=True),
+    TableSpec("nflverse", "draft_picks", ("season", "pick"), by_season=True),
+    TableSpec("nflverse", "schedules", ("game_id",), by_season=True),
+    TableSpec("nflverse", "injuries", (), by_season=True),
+    TableSpec("nflverse", "pbp", ("game_id", "play_id"), by_season=True, optional=True),
+    TableSpec("nflverse", "players", ("gsis_id",)),
+    TableSpec("nflverse", "ff_playerids", ("gsis_id",)),
+    TableSpec("nflverse", "trades", ()),
+    TableSpec("nflverse", "ff_rankings", ()),
+    TableSpec("nflverse", "ff_projections", ()),
+    TableSpec("nflverse", "nextgen_stats", ("player_gsis_id", "season", "week", "season_type"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "rosters_weekly", ("gsis_id", "season", "week"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "ff_opportunity", ("player_id", "season", "week", "season_type"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "snap_counts", ("pfr_player_id", "season", "week"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "officials", ("official_id", "game_id"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "team_stats", ("season", "week", "team", "season_type"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "ftn_charting", ("nflverse_game_id", "nflverse_play_id"), by_season=True, seasonal=True),
+    TableSpec("nflverse", "participation", ("nflverse_game_id", "play_id"), seasonal=True),
+    TableSpec("yas", "yas_complete", ("yamplayer_id", "calculation_position", "calculation_type")),
 ]
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], infer: bool = True) -> DataFrame:
-    """A CSV with a header. Types from all of the file, or texts only; short rows are filled with nulls; fields may hold line breaks."""
-    return spark.read.csv(path, header=True, inferSchema=infer, mode="PERMISSIVE", multiLine=True, escape='"')
+#: Files that a season's rows are spread over.
+FILES = 4
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], infer: bool = True, breaks: bool | None = None, schema: str | None = None) -> DataFrame:
+    """A CSV with a header. Types are those of ``schema``, or from all of the file, or texts only; short rows are filled with nulls.
+
+    Fields may hold line breaks where ``breaks`` says so; such a file is one task. Else files are split among tasks. Unless told,
+    lines are looked through for quoted breaks first, which ends at the first one found.
+    """
+    options = dict(header=True, mode="PERMISSIVE", escape='"')
+    if breaks is None:
+        breaks = has_breaks(spark, path)
+    return spark.read.csv(path, schema=schema, inferSchema=infer and schema is None, multiLine=breaks, **options)
+
+
+def has_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether any line holds an odd number of quotes: then a quoted field goes on in the next line. Read as plain text, in splits."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.filter(quotes % 2 == 1).isEmpty()
 
 
 def read_seasonal(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -108,12 +127,13 @@ def files_of(spec: TableSpec, data_dir: str) -> list[str]:
 
 def store_table(df: DataFrame, spec: TableSpec) -> int:
     """Write one table and return its rows."""
-    keys = [k for k in (c.strip() for c in spec.key.split(",")) if k in df.columns]
-    by_season = "season" in df.columns and any(f.split(",")[0] == "season" for f in spec.filters)
+    by_season = "season" in df.columns and spec.by_season
+    inner = [k for k in spec.key if k in df.columns and k != "season"]
     writer = df
     if by_season:
-        writer = writer.repartition("season")
-    if inner := [k for k in keys if k != "season"]:
+        spread = F.pmod(F.xxhash64(*(inner or df.columns)), F.lit(FILES))
+        writer = writer.repartition("season", spread)  # several tasks and files for each season, however large one season is
+    if inner:
         writer = writer.sortWithinPartitions(*(["season"] if by_season else []), *inner)
     out = writer.write.mode("overwrite").format("parquet")
     (out.partitionBy("season") if by_season else out).saveAsTable(f"`{spec.schema}`.`{spec.name}`")
@@ -183,10 +203,6 @@ CHARTS = {"fitzgerald_spielberger": 30, "harvard": 5, "jimmy_johnson": 30, "rich
 
 def value_charts(charts: dict[str, DataFrame]) -> DataFrame:
     """Draft value charts side by side on a common scale, and on a log scale; null where a log does not exist."""
-    from pyspark.sql import functions as F
-
-    from fieldglass.functions import log10_or_null
-
     out = functools.reduce(lambda a, b: a.join(b, "pick"), [df.select("pick", (F.col("value") / CHARTS[n]).alias(f"draft_values_{n}")) for n, df in charts.items()])
     logs = {f"log_draft_values_{n}": log10_or_null(f"draft_values_{n}") * 50 for n in charts}
     return out.withColumns({"log_pick": log10_or_null("pick"), **logs})
