@@ -1,14 +1,14 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
-A candidate is a whole run of secret characters, at least ``LEAST`` long. The network sees 64 of its characters and
+A candidate is a whole run of secret characters, at least ``LEAST`` long, within the patterns' spans or not. The network sees 64 of its characters and
 32 on each side, with filters pooled apart over candidate and context; a longer candidate is seen in windows that
 overlap by half, and the largest logit counts, in training as in scans. It is
 trained on labelled findings: texts written by ``findings()`` from formats of keys, passwords and tokens,
 and of things that look like them (addresses, hosts, numbers, versions, paths, dates, identifiers,
-long words, rules, checksums named as such). Its logit is calibrated on findings kept apart, and the threshold is the highest
+long words in any case and prose, rules, checksums named as such). Its logit is calibrated on findings kept apart, and the threshold is the highest
 at which recall on them is at least ``RECALL``; recall is of the secrets in whole texts, so one that the search for
-candidates does not give counts as missed. Candidates that overlap a pattern's span are not scored;
-the network only ever adds spans, of kind ``model``.
+candidates does not give counts as missed. The patterns' spans stay whatever the network says of them;
+it adds spans, of kind ``model``, where a candidate is not wholly inside them already.
 
 Nulls count as empty texts, without spans. A null id is carried; repeated rows are scanned each. Texts of
 any length are scanned whole. An empty table gives no rows. Columns other than the two named are not read.
@@ -41,7 +41,7 @@ SECRET = "A-Za-z0-9+/_.=-"
 CANDIDATE = re.compile(rf"[{SECRET}]{{{LEAST},}}")
 WIDTH = 2 * SIDE + BODY
 KERNEL, STRIDE = 5, 1
-RECALL, FINDINGS, EPOCHS, SEED = 0.95, 6000, 4, 11
+RECALL, FINDINGS, EPOCHS, SEED = 0.95, 12000, 5, 11
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,16 +52,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs to score that overlap no span of ``taken``."""
-    out, k, reach = [], 0, -1
-    for m in CANDIDATE.finditer(text):
-        while k < len(taken) and taken[k][0] < m.end():
-            reach = max(reach, taken[k][2])
-            k += 1
-        if reach <= m.start():
-            out.append(m.span())
-    return out
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs to score: all of them."""
+    return [m.span() for m in CANDIDATE.finditer(text)]
+
+
+def covered(start: int, end: int, taken: list[tuple[int, int, int]]) -> bool:
+    """Whether the sorted spans of ``taken`` together hold every character from ``start`` to ``end``."""
+    for s, _, e in taken:
+        if s > start:
+            return False
+        if e > start:
+            start = e
+        if start >= end:
+            return True
+    return False
 
 
 def window(text: str, start: int, end: int) -> tuple[bytes, int]:
@@ -98,14 +103,15 @@ class Scanner:
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans (start, kind number, end) of each text, sorted."""
         spans = [base_spans(t) for t in texts]
-        found = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t, spans[i])]
+        found = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
+        added: list[list] = [[] for _ in texts]
         for at in range(0, len(found), 4096):
             part = found[at : at + 4096]
             p = self.probabilities([window(texts[i], s, e) for i, s, e in part])
             for (i, s, e), ok in zip(part, p >= self.threshold):
-                if ok:
-                    spans[i].append((s, 3, e))
-        return [sorted(s) for s in spans]
+                if ok and not covered(s, e, spans[i]):
+                    added[i].append((s, 3, e))
+        return [sorted(s + m) for s, m in zip(spans, added)]
 
 
 def arrays(windows: list[tuple[bytes, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -122,8 +128,12 @@ TAILS = ("ization", "ational", "ically", "mentally", "ativeness", "ibility", "er
 COMMON = ("time", "people", "water", "house", "correct", "horse", "battery", "staple", "river", "garden", "winter", "yellow", "market", "window", "letter", "summer", "orange", "silver", "master", "dragon", "monkey", "simple", "config", "source", "server", "client", "handler", "factory", "manager", "local", "share", "user", "main", "test", "data", "docs", "lib", "usr", "home", "build")
 
 
-def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
-    """Labelled findings (text, start, end, 1 for a secret): keys and look-alikes set in prose, code and settings."""
+#: Syllables of invented words, so that prose of no known language is among the look-alikes.
+SYLLABLES = tuple(a + v + b for a in ("", "b", "c", "d", "f", "g", "h", "j", "k", "l", "ll", "m", "n", "p", "qu", "r", "s", "t", "v", "w", "wh", "st", "th", "ch", "sch", "tr", "pr", "br") for v in ("a", "e", "i", "o", "u", "ou", "ei", "ie", "ea", "au", "io") for b in ("", "", "n", "r", "s", "t", "l", "nd", "nt", "ng", "ch", "x"))
+
+
+def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
+    """Labelled findings (text, start, end, 1 for a secret, kind): keys and look-alikes set in prose, shouting, code and settings."""
     rng = np.random.default_rng(seed)
     lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
 
@@ -136,8 +146,15 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     def word() -> str:
         return run(lower, 2, 9)
 
+    def babble(k: int) -> str:
+        return "".join(rng.choice(SYLLABLES, k))
+
     def prose(k: int) -> str:
-        return " ".join(word() for _ in range(k))
+        words = [word() if rng.random() < 0.5 else babble(int(rng.integers(1, 5))) for _ in range(k)]
+        style = rng.random()
+        if style < 0.15:
+            return " ".join(w.upper() + "!!" * (rng.random() < 0.6) for w in words)
+        return " ".join(w + str(rng.choice(("", "", "", ",", "."))) for w in words) if style < 0.5 else " ".join(words)
 
     def cased(w: str) -> str:
         return (w, w.capitalize(), w.upper())[rng.integers(3)]
@@ -145,7 +162,7 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
     def number(lo: int, hi: int) -> str:
         return str(rng.integers(lo, hi))
 
-    secret_characters, phrases = lower + upper + digits + "+/_.=-", set()
+    phrases: set[str] = set()
 
     def title() -> str:
         return long_word().capitalize() if rng.random() < 0.3 else str(rng.choice(COMMON)).capitalize()
@@ -169,68 +186,74 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
         token = pick("ghp_", "gho_", "sk-", "glpat-", "npm_", "") + run(lower + upper + digits, 24, 36)
         return pick("/", "", "//") + path(int(rng.integers(2, 8))) + pick("/", "/key=", "=") + token + "/" + path(int(rng.integers(2, 8)))
 
-    def secret() -> tuple[str, str]:
-        """What stands before it, and the secret."""
-        mixed = lower + upper + digits
-        body = [
-            lambda: run(mixed, 20, 44),
-            lambda: run(mixed + "+/", 30, 64) + pick("", "=", "=="),
-            lambda: pick("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "npm_", "pk_", "key-") + run(mixed, 16, 40),
-            lambda: "eyJ" + run(mixed, 15, 30) + "." + run(mixed + "_-", 20, 60) + "." + run(mixed + "_-", 20, 43),
-            lambda: run(upper + digits, 16, 32),
-            lambda: run(mixed, 8, 12) + pick("_", "-", ".") + run(mixed, 8, 12),
-            lambda: "0x" + run("0123456789ABCDEF", 32, 64),
-            lambda: run(lower + upper, 14, 40),
-            lambda: pick("ghp_", "sk-", "glpat-", "key-") + run(lower + upper, 16, 40),
-            phrase,
-            within,
-        ][rng.integers(11)]()
+    mixed = lower + upper + digits
+    secrets = {
+        "random": lambda: run(mixed, 20, 44),
+        "base64": lambda: run(mixed + "+/", 30, 64) + pick("", "=", "=="),
+        "prefixed": lambda: pick("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "npm_", "pk_", "key-") + run(mixed, 16, 40),
+        "web token": lambda: "eyJ" + run(mixed, 15, 30) + "." + run(mixed + "_-", 20, 60) + "." + run(mixed + "_-", 20, 43),
+        "capitals and digits": lambda: run(upper + digits, 16, 32),
+        "two parts": lambda: run(mixed, 8, 12) + pick("_", "-", ".") + run(mixed, 8, 12),
+        "hexadecimal": lambda: "0x" + run("0123456789ABCDEF", 32, 64),
+        "letters": lambda: run(lower + upper, 14, 40),
+        "prefixed letters": lambda: pick("ghp_", "sk-", "glpat-", "key-") + run(lower + upper, 16, 40),
+        "phrase": phrase,
+        "within a path": within,
+        "assigned": lambda: pick("password", "token", "secret", "api_key") + "=" + run(mixed, 12, 32),
+    }
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before it, the secret, its kind."""
+        kind = str(rng.choice(list(secrets)))
+        body = secrets[kind]()
         if len(body) < LEAST:
             body += run(digits, 6)
         if body in phrases:
-            return pick("pwd=", "pwd: ", "login with ", "credential = ", "passphrase: ", "pass="), body
+            return pick("pwd=", "pwd: ", "login with ", "credential = ", "passphrase: ", "pass="), body, kind
         lead = pick("pwd=", "auth: ", "Authorization: Bearer ", "credential = ", 'private_key: "', "access_key=", "-H 'X-Key: ", "client_id ", "login with ", "use ", "", "", "")
-        return lead, body
-
-    often = [*range(19), 10, 10, 10, 12, 12, 13, 13, 13]  # checksums, names and words are the nearest to secrets
-
-    def harmless() -> tuple[str, str]:
-        lead, body = [
-            lambda: (pick("", "from ", "mailto "), f"{word()}.{number(1, 99)}"),
-            lambda: (pick("host ", "at ", "ip "), ".".join(number(10, 256) for _ in range(4))),
-            lambda: (pick("card ", "no. ", "id ", "", "call "), run(digits, 12, 19)),
-            lambda: (pick("call ", "tel ", ""), "-".join([run(digits, 3), run(digits, 3), run(digits, 4)])),
-            lambda: (pick("on ", "at ", ""), f"20{run(digits, 2)}-0{number(1, 9)}-1{number(0, 9)}T1{number(0, 9)}.{run(digits, 2)}"),
-            lambda: (pick("http://", "see ", "path "), "/".join([word(), word(), number(1, 999), word()]) + pick("", ".html", ".py", "/")),
-            lambda: (pick("version ", "", "install "), f"{word()}-{word()}-{number(0, 9)}.{number(0, 30)}.{number(0, 9)}"),
-            lambda: (pick("", "the ", "by "), word() + word() + word() + number(1, 2030)),
-            lambda: (pick("fig_", "table ", "chapter_"), f"{word()}_{word()}_{number(1, 99)}"),
-            lambda: (pick("id=", "uuid ", ""), "-".join(run(digits + "abcdef", k) for k in (8, 4, 4, 4, 12))),
-            lambda: (pick("sha1:", "checksum ", "commit "), run("0123456789ABCDEF", 40)),
-            lambda: (pick("", "see "), pick("--", "==", "..") * int(rng.integers(4, 20)) + number(1, 9)),
-            lambda: (pick("name ", "", "class "), "".join(word().capitalize() for _ in range(3)) + number(1, 99)),
-            lambda: (pick("", "the ", "of ", "use ", "with "), cased(long_word())),
-            lambda: (pick("", "a ", "from "), cased(str(rng.choice(COMMON))) + "-" + long_word() + pick("", ".", "...")),
-            lambda: (pick("", " ", "\n"), pick("-", "=", ".", "_", "+", "/") * int(rng.integers(12, 90))),
-            lambda: (pick("", "path ", "see ", "in ", "http:", "https:"), pick("/", "//") + path(int(rng.integers(2, 16))) + pick("", "/", ".txt", ".")),
-            lambda: (pick("class ", "call ", "name ", "import "), pick("", "_", ".").join(title() for _ in range(int(rng.integers(2, 5))))),
-            lambda: (pick("", "import ", "set "), pick("_", ".", "-").join(segment() for _ in range(int(rng.integers(2, 6))))),
-        ][often[rng.integers(len(often))]]()
-        return lead, body if len(body) >= LEAST else body + "." + word() + word() + word()
+        return lead, body, kind
+
+    look_alikes = {
+        "numbered word": lambda: (pick("", "from ", "mailto "), f"{word()}.{number(1, 99)}"),
+        "address": lambda: (pick("host ", "at ", "ip "), ".".join(number(10, 256) for _ in range(4))),
+        "digits": lambda: (pick("card ", "no. ", "id ", "", "call "), run(digits, 12, 19)),
+        "telephone": lambda: (pick("call ", "tel ", ""), "-".join([run(digits, 3), run(digits, 3), run(digits, 4)])),
+        "time": lambda: (pick("on ", "at ", ""), f"20{run(digits, 2)}-0{number(1, 9)}-1{number(0, 9)}T1{number(0, 9)}.{run(digits, 2)}"),
+        "path with a number": lambda: (pick("http://", "see ", "path "), "/".join([word(), word(), number(1, 999), word()]) + pick("", ".html", ".py", "/")),
+        "package": lambda: (pick("version ", "", "install "), f"{word()}-{word()}-{number(0, 9)}.{number(0, 30)}.{number(0, 9)}"),
+        "name with a number": lambda: (pick("", "the ", "by "), word() + word() + word() + number(1, 2030)),
+        "label": lambda: (pick("fig_", "table ", "chapter_"), f"{word()}_{word()}_{number(1, 99)}"),
+        "identifier": lambda: (pick("id=", "uuid ", ""), "-".join(run(digits + "abcdef", k) for k in (8, 4, 4, 4, 12))),
+        "checksum": lambda: (pick("sha1:", "checksum ", "commit "), run("0123456789ABCDEF", 40)),
+        "rule with a number": lambda: (pick("", "see "), pick("--", "==", "..") * int(rng.integers(4, 20)) + number(1, 9)),
+        "class with a number": lambda: (pick("name ", "", "class "), "".join(word().capitalize() for _ in range(3)) + number(1, 99)),
+        "long word": lambda: (pick("", "the ", "of ", "use ", "with "), cased(long_word())),
+        "hyphenated words": lambda: (pick("", "a ", "from "), cased(str(rng.choice(COMMON))) + "-" + long_word() + pick("", ".", "...")),
+        "rule": lambda: (pick("", " ", "\n"), pick("-", "=", ".", "_", "+", "/") * int(rng.integers(12, 90))),
+        "long path": lambda: (pick("", "path ", "see ", "in ", "http:", "https:"), pick("/", "//") + path(int(rng.integers(2, 16))) + pick("", "/", ".txt", ".")),
+        "class": lambda: (pick("class ", "call ", "name ", "import "), pick("", "_", ".").join(title() for _ in range(int(rng.integers(2, 5))))),
+        "settings name": lambda: (pick("", "import ", "set "), pick("_", ".", "-").join(segment() for _ in range(int(rng.integers(2, 6))))),
+        "invented word": lambda: (pick("", "", "and ", "!! "), cased(babble(int(rng.integers(4, 9)))) + pick("", "", ".", "!!", "-", ",")),
+        "shouted word": lambda: (pick("", "!! ", "THE "), (babble(int(rng.integers(4, 8))) if rng.random() < 0.6 else "".join(rng.choice(list("THEANDSTINGOURWLCMPBYF"), rng.integers(12, 18)))).upper() + pick("!!", "!!", ".", "")),
+    }
+    weights = {"checksum": 4, "long word": 2, "class with a number": 3, "hyphenated words": 2, "invented word": 5, "shouted word": 4}  # the nearest to secrets
+    often = [k for k in look_alikes for _ in range(weights.get(k, 1))]
+
+    def harmless() -> tuple[str, str, str]:
+        kind = str(rng.choice(often))
+        lead, body = look_alikes[kind]()
+        return lead, body if len(body) >= LEAST else body + "." + word() + word() + word(), kind
 
     out = []
     for i in range(n):
-        lead, body = secret() if i % 2 else harmless()
+        lead, body, kind = secret() if i % 2 else harmless()
         before, after = prose(int(rng.integers(0, 8))), prose(int(rng.integers(0, 8)))
         quote = pick('"', "'", "", "", "")
         head = before + pick(" ", "\n", " ", "") * bool(before) + lead + quote
         tail = quote + pick(" ", ",", "\n", ". ", "@" if not i % 2 and rng.random() < 0.3 else " ") + after
         text, start, end = head + body + tail, len(head), len(head) + len(body)
-        while start and text[start - 1] in secret_characters:
-            start -= 1
-        while end < len(text) and text[end] in secret_characters:
-            end += 1
-        out.append((text, start, end, i % 2))  # the whole run, as scans see it
+        run_of = next((span for span in candidates(text) if span[0] <= len(head) < span[1]), (start, end))
+        out.append((text, *run_of, i % 2, kind))  # the whole run, as scans see it
     return out
 
 
@@ -238,11 +261,11 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int]]:
 def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Scanner:
     """The network after training on five sixths of ``n`` findings, calibrated and given its threshold on the rest."""
     rows = findings(n, seed)
-    windows, y = [parts(*window(t, s, e)) for t, s, e, _ in rows], np.array([r[3] for r in rows], float)
+    windows, y = [parts(*window(*r[:3])) for r in rows], np.array([r[3] for r in rows], float)
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)
     kept, used = order[: n // 6], order[n // 6 :]
-    net = Net(seed, kernel=KERNEL, stride=STRIDE, filters=24)
+    net = Net(seed, kernel=KERNEL, stride=STRIDE, filters=32, hidden=32)
     for epoch in range(EPOCHS):
         rng.shuffle(used)
         for k in range(0, len(used), 64):
@@ -262,16 +285,15 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Scan
                 net.pool_gradient(x, p, at, d[:, j * net.filters : (j + 1) * net.filters], g)
             net.step(g, 4e-3 * (1 - epoch / EPOCHS))
     scanner = Scanner(net, (1.0, 0.0), 0.5)
-    spans = [base_spans(rows[i][0]) for i in kept]
-    unscored = np.array([any(b < rows[i][2] and rows[i][1] < e for b, _, e in own) for i, own in zip(kept, spans)])
-    seen = np.array([rows[i][1:3] in candidates(rows[i][0], own) for i, own in zip(kept, spans)])
+    by_pattern = np.array([covered(*rows[i][1:3], base_spans(rows[i][0])) for i in kept])
+    seen = np.array([rows[i][1:3] in candidates(rows[i][0]) for i in kept])
     z, t = scanner.logits([window(*rows[i][:3]) for i in kept]).astype(float), y[kept]
     a, b = 1.0, 0.0
     for _ in range(200):  # calibration: one scale and shift by gradient descent
         e = sigmoid(a * z + b) - t
         a, b = a - 0.05 * (e * z).mean(), b - 0.05 * e.mean()
     scanner.scale = (float(a), float(b))
-    positive = np.sort((sigmoid(a * z + b) * seen)[(t == 1) & ~unscored])  # the patterns' own are not the network's
+    positive = np.sort((sigmoid(a * z + b) * seen)[(t == 1) & ~by_pattern])  # those found without the network set no threshold
     scanner.threshold = float(positive[int((1 - recall) * len(positive))])
     return scanner
 

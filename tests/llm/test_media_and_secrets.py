@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -139,9 +140,109 @@ def test_base_spans(text, want):
     assert secrets.base_spans(text) == want
 
 
-def test_candidates_avoid_base_spans():
+def test_every_run_is_a_candidate_and_base_spans_are_not_repeated():
     text = "password=abcdef123456 and zz9zzzzzzzzzzzz short1 0123456789abcdef"
-    assert [text[s:e] for s, e in secrets.candidates(text, secrets.base_spans(text))] == ["zz9zzzzzzzzzzzz"]
+    assert [text[s:e] for s, e in secrets.candidates(text)] == ["password=abcdef123456", "zz9zzzzzzzzzzzz", "0123456789abcdef"]
+    scanner = secrets.Scanner(secrets.trained().net, (1.0, 0.0), 0.0)  # takes every candidate
+    assert scanner.scan([text])[0] == [(0, 0, 21), (26, 3, 41), (49, 2, 65)]
+    longer = "ghp/0123456789abcdef/WxYz"  # a pattern's span inside a longer run: both stay
+    assert scanner.scan([longer])[0] == [(0, 3, 25), (4, 2, 20)]
+
+
+def plain_probability(scanner, text, start, end):
+    """One candidate through the network, written out: every place of every window, one filter after another."""
+    net, best = scanner.net, -np.inf
+    side, body = secrets.SIDE, secrets.BODY
+    line = text[max(0, start - side) : start].rjust(side, "\0") + text[start:end] + text[end : end + side].ljust(side, "\0")
+    data = line.encode("latin-1", "replace")
+    n = end - start
+    offsets, at = [], 0
+    while at < n - body:
+        offsets.append(at)
+        at += body // 2
+    offsets.append(max(0, n - body))
+    for o in offsets:
+        seen = data[o : o + 2 * side + body].ljust(2 * side + body, b"\0")
+        inside, outside = [np.zeros(net.filters)], [np.zeros(net.filters)]
+        for place in range(len(seen) - secrets.KERNEL + 1):
+            value = np.concatenate([net.p["emb"][c] for c in seen[place : place + secrets.KERNEL]]) @ net.p["w"] + net.p["b"]
+            middle = place + secrets.KERNEL // 2
+            (inside if side <= middle < side + min(body, n) else outside).append(value)
+        features = np.concatenate([np.max(inside, axis=0), np.max(outside, axis=0)])
+        h = np.maximum(features @ net.p["w1"] + net.p["b1"], 0)
+        best = max(best, float(h @ net.p["w2"] + net.p["b2"][0]))
+    return 1 / (1 + np.exp(-(scanner.scale[0] * best + scanner.scale[1])))
+
+
+def plain_base(text):
+    """The three patterns by hand: words found by search, characters taken one by one."""
+    spans, lower = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(w, at)), None)
+        end = None
+        if word:
+            k = at + len(word)
+            k += text[k : k + 1] in ("'", '"')
+            k = run(k, " ")
+            if text[k : k + 1] in (":", "="):
+                k = run(k + 1, " ")
+                k += text[k : k + 1] in ("'", '"')
+                end = run(k, body)
+                if end == k:  # nothing left: a quote or sign may have been taken that is the value's own
+                    end = None
+        if end:
+            if end - k >= 12:
+                spans.append((at, "assign", end))
+            at = end
+        else:
+            at += 1
+    for name, lead, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < len(text):
+            if text.startswith(lead, at) and (end := run(at + len(lead), allowed)) > at + len(lead):
+                if end - at >= least:
+                    spans.append((at, name, end))
+                at = end
+            else:
+                at += 1
+    return sorted(spans, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+
+
+def test_query_equals_a_plain_scan_of_the_table(spark):
+    from fieldglass.llm.queries import op8_secret_scan
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    scanner = secrets.trained()
+    kinds = {"assign": 0, "access": 1, "hex": 2, "model": 3}
+    rows = op8_secret_scan(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        base = plain_base(text)
+        said = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        line = ",".join(f"{k}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == name for _, k, _ in base) for name in ("assign", "access", "hex"))
+        marked = np.zeros(len(text), bool)
+        for a, _, b in base:
+            marked[a:b] = True
+        runs = [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", text)]
+        runs = runs if len(text) < 4000 else runs[:3]  # the plain network is slow
+        for m in runs:
+            p = plain_probability(scanner, text, *m.span())
+            if abs(p - scanner.threshold) > 1e-4:
+                assert ((m.start(), "model", m.end()) in said) == (p >= scanner.threshold and not marked[m.start() : m.end()].all())
+        assert said == sorted(said, key=lambda s: (s[0], kinds[s[1]])) and [s for s in said if s[1] != "model"] == base
 
 
 def test_network_recall_and_false_positives_on_new_findings():
