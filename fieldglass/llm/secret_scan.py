@@ -147,7 +147,7 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
         return run(lower, 2, 9)
 
     def babble(k: int) -> str:
-        return "".join(rng.choice(SYLLABLES, k))
+        return "".join(SYLLABLES[i] for i in rng.integers(len(SYLLABLES), size=k))
 
     def prose(k: int) -> str:
         words = [word() if rng.random() < 0.5 else babble(int(rng.integers(1, 5))) for _ in range(k)]
