@@ -3,9 +3,9 @@
 The reader decodes any GIF: LZW code streams of 2 to 12 bits, global and local palettes, interlacing,
 transparency and the four disposal rules, composed onto the logical screen frame by frame. Codes are
 taken from the stream by whole segments between clear codes, for a segment's code widths follow from
-its code positions alone; segments of nothing but root codes become samples at once, others go
-through the code table. The writer keeps bytes as indexes into a grey palette, 64 columns wide, frames
-of up to 1024 rows; it clears the table before codes widen, so that a frame is packed in one vector step.
+its code positions alone; a segment's codes then go through the code table one by one. The writer keeps
+bytes as indexes into a grey palette, 64 columns wide, frames of up to 1024 rows, compressed by the same
+table, which is cleared when it is full.
 
 Null and empty texts are 64 zero bytes. Null media give null columns; a stream that breaks a rule of the
 format raises ValueError naming it. Equal texts give equal media. A null id is carried; repeated rows are
@@ -27,7 +27,7 @@ from .common import require, slices
 
 COLUMNS, ROWS, DELAY_CS, BINS = 64, 1024, 10, 8
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-RUN = 254  # root codes between two clear codes, so that all keep nine bits
+FULL = 4096  # entries of a full code table
 
 
 def padded(data: bytes, unit: int = COLUMNS) -> bytes:
@@ -41,17 +41,34 @@ def sub_blocks(data: bytes) -> bytes:
     return blocks.tobytes() + (bytes([rest]) + data[-rest:] if rest else b"") + b"\0"
 
 
-def root_codes(samples: np.ndarray) -> bytes:
-    """An LZW stream of eight-bit root codes, cleared every RUN codes."""
-    groups = -(-len(samples) // RUN)
-    codes = np.full((groups, RUN + 1), 257, np.uint16)
-    codes[:, 0] = 256
-    at = np.arange(len(samples))
-    codes[at // RUN, 1 + at % RUN] = samples
-    flat = codes.ravel()[: groups + len(samples)]
-    flat = np.append(flat, np.uint16(257))
-    bits = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+def compressed(samples: bytes) -> bytes:
+    """The LZW stream of eight-bit samples: a clear code, codes until the table is full, again a clear code, and the end."""
+    table: dict[int, int] = {}
+    fresh, codes, segments = 258, [], []
+    known, emit = table.get, codes.append
+    prefix = samples[0]
+    for sample in memoryview(samples)[1:]:
+        pair = prefix << 8 | sample
+        found = known(pair)
+        if found is not None:
+            prefix = found
+            continue
+        emit(prefix)
+        prefix = sample
+        if fresh < FULL:
+            table[pair] = fresh
+            fresh += 1
+        else:
+            emit(256)
+            segments.append(len(codes))
+            table.clear()
+            fresh = 258
+    codes += [prefix, 257]
+    starts = [0, *segments]
+    widths = np.concatenate([[9], *(schedule(8, b - a)[1] for a, b in zip(starts, [*segments, len(codes)]))])
+    flat = np.array([256, *codes], "<u2")
+    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :12]
+    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
 
 
 def write_gif(payload: bytes) -> bytes:
@@ -60,8 +77,8 @@ def write_gif(payload: bytes) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", COLUMNS, min(rows, ROWS), 0xF7, 0, 0), GREY]
     for top in range(0, rows, ROWS):
         n = min(ROWS, rows - top)
-        samples = np.frombuffer(payload, np.uint8, n * COLUMNS, top * COLUMNS)
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY_CS, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, COLUMNS, n, 0), b"\x08", sub_blocks(root_codes(samples))]
+        samples = payload[top * COLUMNS : (top + n) * COLUMNS]
+        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, DELAY_CS, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, COLUMNS, n, 0), b"\x08", sub_blocks(compressed(samples))]
     return b"".join([*out, b";"])
 
 
@@ -92,18 +109,20 @@ def expand(codes: list[int], clear: int) -> bytes:
     table = [bytes([i]) for i in range(clear)] + [b"", b""]
     if codes[0] >= clear:
         raise ValueError("GIF: a segment begins with a code that is not a root")
-    last = table[codes[0]]
+    last, size = table[codes[0]], clear + 2
     out = [last]
+    emit, enter = out.append, table.append
     for c in codes[1:]:
-        if c < len(table):
+        if c < size:
             now = table[c]
-        elif c == len(table) and c < 4096:
+        elif c == size and c < FULL:
             now = last + last[:1]
         else:
             raise ValueError("GIF: a code stands for no entry")
-        if len(table) < 4096:
-            table.append(last + now[:1])
-        out.append(now)
+        if size < FULL:
+            enter(last + now[:1])
+            size += 1
+        emit(now)
         last = now
     return b"".join(out)
 
@@ -113,23 +132,8 @@ def read_lzw(stream: bytes, root_bits: int, n: int) -> np.ndarray:
     clear, end = 1 << root_bits, (1 << root_bits) + 1
     data = np.frombuffer(stream + bytes(4), np.uint8)
     total, at, found, out = len(stream) * 8, 0, 0, []
-    length = 0  # codes of the last segment with its closing clear code, to try as the shape of the next ones
+    size = 512  # codes to look at for the segment's end
     while found < n:
-        if length:
-            offsets, widths = schedule(root_bits, length)
-            bits = int(offsets[-1] + widths[-1])
-            times = min((total - at) // bits, -(-(n - found) // max(1, length - 1)) + 1)
-            if times > 0:
-                codes = codes_at(data, (at + bits * np.arange(times))[:, None] + offsets, widths)
-                fits = (codes[:, -1] == clear) & (codes[:, :-1] < clear).all(axis=1)
-                times = int(np.argmin(fits)) if not fits.all() else times
-                if times:
-                    out.append(codes[:times, :-1].astype(np.uint8).tobytes())
-                    found += times * (length - 1)
-                    at += times * bits
-                    if found >= n:
-                        break
-        size = 512
         while True:
             offsets, widths = schedule(root_bits, size)
             inside = at + offsets + widths <= total
@@ -137,17 +141,15 @@ def read_lzw(stream: bytes, root_bits: int, n: int) -> np.ndarray:
             stop = np.flatnonzero((codes == clear) | (codes == end))
             if len(stop) or not inside.all():
                 break
-            size *= 4
+            size *= 8
         k = int(stop[0]) if len(stop) else len(codes)
-        own = codes[:k]
         if k:
-            part = own.astype(np.uint8).tobytes() if (own < clear).all() else expand(own.tolist(), clear)
-            out.append(part)
-            found += len(part)
+            out.append(expand(codes[:k].tolist(), clear))
+            found += len(out[-1])
         if not len(stop) or codes[k] == end:
             break
         at += int(offsets[k] + widths[k])
-        length = k + 1 if k else 0
+        size = max(512, k + 8)  # the next one is often as long
     samples = np.frombuffer(b"".join(out), np.uint8)[:n]
     if len(samples) < n:
         raise ValueError("GIF: the code stream ends before the frame is full")

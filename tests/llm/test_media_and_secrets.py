@@ -61,6 +61,20 @@ def test_payload_round_trip(data):
     assert b"".join(f.own()[..., 0].tobytes() for f in gif.read_gif(gif.write_gif(payload))) == payload
 
 
+def test_written_streams_equal_a_plain_encoder_and_compress():
+    """Prose, noise, one long run (codes that stand for the entry being made) and lengths around a full table."""
+    rng = random.Random(7)
+    for data in (b"an idle afternoon, nothing to see " * 1500, rng.randbytes(40_000), b"a" * 60_000, rng.randbytes(3837), rng.randbytes(3838), rng.randbytes(3839), rng.randbytes(3840), b"x"):
+        assert gif.compressed(data) == compressed(data, 8)
+    prose = gif.padded(" ".join(rng.choices(["water", "house", "river", "garden", "window", "of", "the"], k=20_000)).encode())
+    assert len(gif.write_gif(prose)) < len(prose) / 2
+
+
+def test_a_payload_beyond_a_megabyte():
+    payload = gif.padded(("é long text " * 120_000).encode())
+    assert len(payload) > 1 << 20 and b"".join(f.own()[..., 0].tobytes() for f in gif.read_gif(gif.write_gif(payload))) == payload
+
+
 def test_large_payload_has_several_timed_frames():
     payload = random.Random(1).randbytes(64 * 2500)
     frames = gif.read_gif(gif.write_gif(payload))
