@@ -1,7 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are compared word by word: the edit bound is one word put in, taken out or changed. Each line gives,
-as hashed keys, itself and every variant with one word left out; two lines are within the bound if and
+Lines are compared word by word: the edit bound is one word put in, taken out or changed, at a similarity of at
+least 0.8, that is one word of the ``near_words`` = 5 or more of the longer line. Each line gives, as hashed keys, itself and every variant with one word left out; two lines are within the bound if and
 only if one is a variant of the other, or both have equal variants with the same word left out. So
 the earliest line of each key (and of each key and place) is found by aggregation, joined to the equal
 variants, and the edit distance of each line and the earlier one is verified on their words. A line goes
@@ -12,9 +12,10 @@ last half of their words, so a line whose halves are its own alone is left out w
 the join is hashes and places; a line that stands in a third of all documents is one row after partial
 aggregation, and is never joined by its occurrences: the places that stay are what is joined back.
 
-Lines under ``near_words`` words only go when equal to an earlier line; lines without a word always stay.
-Null text stays null. Rows equal in id and text are one document and get the same result; a null id comes
-before all others. A text of any length is read whole; other columns are kept. An empty table gives no rows.
+So a line of four words is within the bound of lines of five alone, and shorter lines only of equal ones: in "the end" and
+"the start" one word is half the line. Lines without a word always stay. Null text stays null. Rows equal in id and
+text are one document and get the same result; a null id comes before all others. A text of any length is read whole;
+other columns are kept whatever their names, but for ``n_lines`` and ``n_removed``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, let, materialise, require
+from .common import bounded, let, materialise, require, unused
 
-NEAR_WORDS = 8
+#: Words of the longer line from which one word is at most a fifth.
+NEAR_WORDS = 5
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,7 +70,8 @@ def earliest(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_i
 
     # their variants; `out` is the word left out, -1 where none is
     w = words(F.col("line"))
-    spread = found.select(place, w.alias("w")).select("place", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("out"))
+    outs = F.when(F.size("w") >= near_words, F.sequence(F.lit(-1), F.size("w") - 1)).otherwise(F.array(F.lit(-1)))
+    spread = found.select(place, w.alias("w")).select("place", "w", F.explode(outs).alias("out"))
     variant = F.when(F.col("out") < 0, F.array_join("w", " ")).otherwise(F.concat_ws(" ", F.slice("w", F.lit(1), F.greatest(F.col("out"), F.lit(0))), F.slice("w", F.col("out") + 2, F.size("w"))))
     variants = spread.select("place", "out", variant.alias("v")).select("place", "out", F.xxhash64("v").alias("v1"), F.xxhash64(F.lit(1), "v").alias("v2"))
     variants = materialise(variants, "variants")
@@ -93,27 +96,27 @@ def earliest(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_i
 
 
 def half_keys(near_words: int) -> list[Column]:
-    """k0 to k3: hashes of the first and of the last half of a line's words, for both roundings of half; null for short lines."""
+    """k0 to k3: hashes of the first and of the last half of a line's words, for both roundings of half; null for lines too short for a partner."""
     out = []
     for i, half in enumerate((F.expr("(n - 1) div 2"), F.expr("n div 2"))):
         half = half.cast("int")
         for end, count in ((0, half), (1, -half)):
-            out.append(F.when(F.col("n") >= near_words, F.xxhash64(F.lit(end), half, F.call_function("substring_index", F.col("line"), F.lit(" "), count))).alias(f"k{2 * i + end}"))
+            out.append(F.when(F.col("n") >= near_words - 1, F.xxhash64(F.lit(end), half, F.call_function("substring_index", F.col("line"), F.lit(" "), count))).alias(f"k{2 * i + end}"))
     return out
 
 
 def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that stay as its text, and n_lines, n_removed (columns of these names are replaced)."""
-    stays = earliest(docs, near_words, id_col, text_col).groupBy("id", "row").agg(F.collect_set("at").alias("stays"))
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "__row", "__id", "stays", "id", "row") or c in (id_col, text_col)]
-    body = docs.select(*kept).withColumn("__row", F.xxhash64(id_col, text_col))
-    stays = stays.withColumnsRenamed({"id": "__id", "row": "__row2"})
-    joined = body.join(stays, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__row2")), "left")
+    new = ("n_lines", "n_removed")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    row, id2, row2, at, left = unused(docs, "row", "id2", "row2", "at", "left")
+    stays = earliest(docs, near_words, id_col, text_col).groupBy(F.col("id").alias(id2), F.col("row").alias(row2)).agg(F.collect_set("at").alias(at))
+    body = docs.select(*kept).withColumn(row, F.xxhash64(id_col, text_col))
+    joined = body.join(stays, F.col(id_col).eqNullSafe(F.col(id2)) & (F.col(row) == F.col(row2)), "left")
     lines = F.split(text_col, "\n")
-    left = F.filter(lines, lambda line, i: (F.length(F.trim(line)) == 0) | F.coalesce(F.array_contains("stays", i), F.lit(False)))
-    out = joined.withColumn("__left", left)
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size(lines) - F.size("__left"), F.lit(0))}
-    return out.withColumns(counts).withColumn(text_col, F.array_join("__left", "\n")).select(*kept, "n_lines", "n_removed")
+    out = joined.withColumn(left, F.filter(lines, lambda line, i: (F.length(F.trim(line)) == 0) | F.coalesce(F.array_contains(at, i), F.lit(False))))
+    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size(lines) - F.size(left), F.lit(0))}
+    return out.withColumns(counts).withColumn(text_col, F.array_join(left, "\n")).select(*kept, *new)
 
 
 ORACLE = f"""
@@ -121,7 +124,7 @@ ORACLE = f"""
     l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
     w AS (SELECT *, string_split(line, ' ') AS w FROM l WHERE length(trim(line, ' ')) > 0),
     t AS (SELECT line, any_value(w) AS w, min(struct_pack(doc_id := doc_id, pos := pos)) AS place FROM w GROUP BY line),
-    c AS (SELECT *, unnest(range(0, len(w) + 1)) AS out FROM t WHERE len(w) >= {NEAR_WORDS}),
+    c AS (SELECT *, unnest(CASE WHEN len(w) >= {NEAR_WORDS} THEN range(0, len(w) + 1) ELSE [0] END) AS out FROM t WHERE len(w) >= {NEAR_WORDS} - 1),
     v AS (SELECT line, place, out, CASE WHEN out = 0 THEN line ELSE array_to_string(list_concat(w[1:out - 1], w[out + 1:]), ' ') END AS v FROM c),
     f AS (SELECT v, out, min(place) AS first FROM v GROUP BY v, out),
     gone AS (

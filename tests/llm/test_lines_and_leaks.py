@@ -25,7 +25,7 @@ def near(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute(data, least=8):
+def brute(data, least=5):
     """(id, text) after dedup, for distinct (id, text) rows."""
     order = sorted({(i, t) for i, t in data if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
     seen, kept = [], {}
@@ -35,8 +35,7 @@ def brute(data, least=8):
             if not line.strip(" "):
                 out.append(line)
                 continue
-            long = len(line.split(" ")) >= least
-            gone = any(line == s or long and len(s.split(" ")) >= least and near(line, s) for s in seen)
+            gone = any(line == s or max(len(line.split(" ")), len(s.split(" "))) >= least and near(line, s) for s in seen)
             seen.append(line)
             if not gone:
                 out.append(line)
@@ -53,10 +52,11 @@ def test_edges(spark):
     data = [
         (1, f"{line}\n\nshort\nshort"), (2, line.replace("five", "5")), (3, line.replace(" nine", "")), (4, line + " ten"), (5, line.replace("one", "1").replace("two", "2")),
         (6, None), (7, ""), (8, "\n\n"), (None, "from nobody\nshort"), (9, "w " * 3000 + "end"), (10, "w " * 3000 + "fin"), (11, line.replace(" ", "  ")),
+        (12, "a b c d e\na b c d f\na b c d\nb c d e\na c d\na b c e"), (13, "p q r s\np q r s t\np q r x"),
     ]
     out = line_dedup.dedup_lines(docs(spark, *data))
     assert result(out) == sorted(brute(data), key=repr)
-    assert out.columns == ["doc_id", "text", "at", "place", "n_lines", "n_removed"]
+    assert out.columns == ["doc_id", "text", "at", "place", "row", "n_lines", "n_removed"] and out.filter("at = 'x' AND place = 'x' AND row = 'x'").count() == len(data)
     counts = {r.doc_id: (r.n_lines, r.n_removed) for r in out.collect()}
     assert counts[1] == (4, 2) and counts[6] == (0, 0) and counts[2] == (1, 1) and counts[8] == (3, 0)
     assert line_dedup.dedup_lines(docs(spark)).count() == 0
@@ -69,7 +69,7 @@ def test_equal_rows_are_one_document(spark):
 
 def test_random_lines_equal_brute_force(spark):
     rng = random.Random(3)
-    base = [[rng.choice("abcdef") for _ in range(rng.choice([7, 8, 9, 12]))] for _ in range(12)]
+    base = [[rng.choice("abcdef") for _ in range(rng.choice([3, 4, 5, 6, 8, 12]))] for _ in range(12)]
     data = []
     for i in range(60):
         lines = []
@@ -83,6 +83,14 @@ def test_random_lines_equal_brute_force(spark):
     assert result(line_dedup.dedup_lines(docs(spark, *data))) == sorted(brute(data), key=repr)
 
 
+def test_columns_of_any_name_are_kept(spark):
+    names = ["id", "row", "stays", "__row_", "__id2__", "__at_", "h1", "v"]
+    frame = spark.createDataFrame([(1, "a b\na b", *names), (2, "a b", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = line_dedup.dedup_lines(frame)
+    assert out.columns == [*frame.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, *(r[n] for n in names)) for r in out.collect()) == [(1, "a b", *names), (2, "", *names)]
+
+
 def test_shuffled_sides_give_the_same(spark, monkeypatch):
     from fieldglass.llm import common
 
