@@ -3,11 +3,12 @@
 Texts are lower-cased and cut into words of letters and digits. A window has as many words as an item. A
 window can only be similar to an item if at least the threshold's share of the item's shingles stand in it, so
 windows are placed at every start whose window holds so many shingles of items of its size; which shingles of the
-corpus are the benchmark's is found by a join on their hashes, over all documents and whole texts. Each window's and each item's SimHash is compared
-through a multi-index: fingerprints cut into ``radius + 1`` blocks, of which those within the radius share
-one, joined on block and value among windows and items of one size. So all fingerprints within the radius
-meet, whatever items placed the window. What meets is verified by the exact weighted similarity of
-their bags of shingles: the sum of smaller counts over that of larger counts.
+corpus are the benchmark's is found by a join on their hashes, over all documents and whole texts. Windows so left
+out can't reach the threshold against any item, whatever their fingerprints. The SimHash of each window and of each
+item is compared through a multi-index: fingerprints cut into ``radius + 1`` blocks, of which those within the radius
+share one, joined on block and value among windows and items of one size; different fingerprints meet once, however
+many windows have them. So all fingerprints within the radius meet, whatever items placed the window. What meets is
+verified by the exact weighted similarity of their bags of shingles: the sum of smaller counts over that of larger counts.
 
 At a similarity of 0.8, fingerprints differ in 10 of 64 bits on average (standard deviation 3); the radius of 20
 passes more than 99.9 % of such pairs to the exact check.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, let, materialise, require
+from .common import bounded, let, materialise, require, unused
 
 SHINGLE, SIMILARITY, RADIUS, WIDTH = 5, 0.8, 20, 64
 
@@ -118,14 +119,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
     windows = windows.withColumn("bag", shingle_hashes(F.col("ww"), F.col("k"))).filter(F.size("bag") > 0).drop("ww").withColumn("bits", simhash(F.col("bag")))
     windows = materialise(windows, "windows")
 
-    near = windows.select("id", "row", "start", "words", "k", "bits", F.explode(blocks(F.col("bits"), radius)).alias("block"))
-    dealt = items.select("item", F.col("words").alias("iwords"), F.col("k").alias("ik"), F.col("bits").alias("ibits"), F.explode(blocks(F.col("bits"), radius)).alias("iblock"))
+    # different fingerprints meet, once each: a passage that stands in a third of all documents is a few of them
+    key = ["words", "k", "bits"]
+    near = windows.select(*key).distinct().withColumn("block", F.explode(blocks(F.col("bits"), radius)))
+    sought = items.select(F.col("words").alias("iwords"), F.col("k").alias("ik"), F.col("bits").alias("ibits")).distinct()
+    dealt = bounded(sought.withColumn("iblock", F.explode(blocks(F.col("ibits"), radius))), "item-blocks")
     met = near.join(dealt, (F.col("words") == F.col("iwords")) & (F.col("k") == F.col("ik")) & (F.col("block") == F.col("iblock"))).filter(F.bit_count(F.col("bits").bitwiseXOR(F.col("ibits"))) <= radius)
-    pairs = met.select("id", "row", "start", "words", "k", "item").distinct()
-    bags = items.select(F.col("item").alias("item2"), F.col("words").alias("iwords"), F.col("bag").alias("ibag"))
+    pairs = bounded(met.select(*key, "ibits").distinct(), "met")
+    bags = bounded(items.select("item", F.col("words").alias("iwords"), F.col("bits").alias("ibits2"), F.col("bag").alias("ibag")), "bags")
     exact = (
-        pairs.join(bags, F.col("item").eqNullSafe(F.col("item2")) & (F.col("words") == F.col("iwords")))
-        .join(windows.select(F.col("id").alias("id2"), F.col("row").alias("row2"), F.col("start").alias("start2"), F.col("words").alias("words2"), "bag"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")) & (F.col("start") == F.col("start2")) & (F.col("words") == F.col("words2")))
+        windows.join(pairs, key)
+        .join(bags, (F.col("words") == F.col("iwords")) & (F.col("ibits") == F.col("ibits2")))
         .withColumn("similarity", similarity(F.col("bag"), F.col("ibag")))
         .filter(F.col("similarity") >= threshold)
     )
@@ -141,6 +145,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    held = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
-    return docs.join(bounded(held, "held"), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__row")), "left_anti")
+    """``docs`` without the rows that hold an item; columns of any name are kept."""
+    id2, row2 = unused(docs, "id", "row")
+    held = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias(id2), F.col("row").alias(row2)).distinct()
+    return docs.join(bounded(held, "held"), docs[id_col].eqNullSafe(F.col(id2)) & (F.xxhash64(docs[text_col]) == F.col(row2)), "left_anti")

@@ -3,9 +3,9 @@
 A text's bytes are cut into overlapping chunks that cover all of it; learned filters run over each
 chunk and are max-pooled; a document's largest and mean pooled values over its chunks give one
 probability. Only bytes are inputs. The network is trained on the driver from a bounded sample of
-labelled rows (``sample`` rows, taken in the order of a hash of their id; of a training text longer
-than ``TRAIN_CHUNKS`` chunks, that many chunks evenly spread), and its few thousand weights go out
-with the scoring tasks, which read every text whole.
+labelled rows: in the order of a hash of their id, up to ``sample`` rows whose texts come to no more than
+``TRAIN_BYTES`` together (a row that would go beyond is left out, the next may still fit). Training reads their
+texts whole, as scoring does. The few thousand weights go out with the scoring tasks.
 
 Nulls count as empty texts, which have one chunk of padding and get a score like others. Labels that
 are null are left out; of several labels for one id the largest counts. With no labels, or one class
@@ -26,11 +26,13 @@ from .common import require
 from .convnet import Net, sigmoid
 
 CHUNK, STEP = 512, 448
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 3000, 48, 14, 32, 4e-3, 7
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE, SEED = 3000, 32 << 20, 14, 32, 4e-3, 7
 KERNEL = 16
 #: A row of the rarer label counts as often as the other label is more frequent, but so many times at most.
 WEIGHT = 4.0
-AT_ONCE = 512  # chunks that a task scores at a time
+#: Share of readings in training that take a short piece of a text in place of all of it, so that short texts are known too.
+PIECES = 0.2
+AT_ONCE = 512  # chunks that go through the network at a time
 
 
 def chunks(data: bytes) -> np.ndarray:
@@ -74,6 +76,28 @@ class Classifier:
         return sigmoid(self.net.head(features)[1])
 
 
+def blocks(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The chunks of several texts one after another, at most AT_ONCE at a time."""
+    held, size = [], 0
+    for c in rows:
+        for at in range(0, len(c), AT_ONCE):
+            part = c[at : at + AT_ONCE]
+            if size + len(part) > AT_ONCE:
+                yield np.concatenate(held)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if held:
+        yield np.concatenate(held)
+
+
+def piece(text: bytes, rng: np.random.Generator) -> bytes:
+    """A random stretch of at most a chunk's length."""
+    size = int(rng.integers(24, CHUNK + 1))
+    at = int(rng.integers(0, max(1, len(text) - size + 1)))
+    return text[at : at + size]
+
+
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Classifier:
     prior = (labels.sum() + 1) / (len(labels) + 2)
     if len(np.unique(labels)) < 2:
@@ -83,18 +107,19 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     rarer = 1.0 if share < 0.5 else 0.0
     weight = np.where(labels == rarer, min(WEIGHT, max(share, 1 - share) / min(share, 1 - share)), 1.0)
     net.p["b2"][:] = np.log(prior / (1 - prior))
-    rows = []
-    for t in texts:
-        c = chunks(t)
-        rows.append(c[np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int)] if len(c) > TRAIN_CHUNKS else c)
+    rows = [chunks(t) for t in texts]  # views of the texts
     batches = -(-len(texts) // BATCH)
+    mean, seen = net.zero(), 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(batches):
             own = order[k::batches]
-            x, who = np.concatenate([rows[i] for i in own]), np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
-            (pooled, at), n = net.pool(x, [None])[0], np.bincount(who)[:, None]
-            starts = np.flatnonzero(np.r_[True, np.diff(who) > 0])
+            read = [chunks(piece(texts[i], rng)) if rng.random() < PIECES else rows[i] for i in own]
+            counts = np.array([len(c) for c in read])
+            who, starts = np.repeat(np.arange(len(own)), counts), np.cumsum(counts) - counts
+            parts = list(blocks(read))
+            pools = [net.pool(x, [None])[0] for x in parts]
+            pooled, n = np.concatenate([p for p, _ in pools]), counts[:, None]
             largest = np.maximum.reduceat(pooled, starts)
             features = np.hstack([largest, np.add.reduceat(pooled, starts) / n]).astype(np.float32)
             h, z = net.head(features)
@@ -102,8 +127,17 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             df = net.head_gradient(features, h, ((sigmoid(z) - labels[own]) * weight[own] / len(own)).astype(np.float32), g)
             first = (pooled == largest[who]) & (pooled > 0)
             ties = np.maximum(np.add.reduceat(first.astype(np.float32), starts), 1)
-            net.pool_gradient(x, pooled, at, first * (df[:, :f] / ties)[who] + (df[:, f:] / n)[who], g)
+            back = first * (df[:, :f] / ties)[who] + (df[:, f:] / n)[who]
+            at = 0
+            for x, (p, places) in zip(parts, pools):
+                net.pool_gradient(x, p, places, back[at : at + len(x)], g)
+                at += len(x)
             net.step(g, RATE * (1 - epoch / epochs) + 1e-4)
+            if epoch >= epochs // 2:  # the mean of the later weights is steadier than the last
+                seen += 1
+                for key, value in net.p.items():
+                    mean[key] += (value - mean[key]) / seen
+    net.p = mean
     return Classifier(net, float(prior))
 
 
@@ -112,22 +146,32 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Train on at most ``sample`` labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = TRAIN_BYTES) -> Classifier:
+    """Train on at most ``sample`` labelled rows that are not held out, of at most ``most_bytes`` together."""
     usable = require(labels, id_col, label).filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = usable.groupBy(id_col).agg(F.max(label).alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = require(docs, id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(text_col).alias("text"), F.first("label").alias("label"))  # `chosen` has at most `sample` ids
-    found = sorted(rows.collect(), key=lambda r: r[0])
-    return train([(r["text"] or "").encode("utf-8") for r in found], np.array([float(r["label"]) for r in found]))
-
-
-def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every whole text; other columns of ``docs`` are kept if their names do not clash."""
+    chosen = usable.groupBy(id_col).agg(F.max(label).alias("label")).select(F.col(id_col).alias("id"), "label", F.xxhash64(id_col).alias("place")).orderBy("place", "id").limit(sample)
+    texts = require(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    sizes = texts.join(F.broadcast(chosen), "id").groupBy("id", "place").agg(F.max(F.octet_length("text")).alias("size")).orderBy("place", "id").collect()  # `sample` numbers at most
+    room, taken = most_bytes, []
+    for r in sizes:
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append(r["id"])
+    if not taken:
+        return train([], np.zeros(0))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in taken], require(docs, id_col).withColumnRenamed(id_col, "id").schema)
+    rows = texts.join(F.broadcast(ids.join(chosen, "id")), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    found = sorted(rows.collect(), key=lambda r: r["id"])  # bounded by `most_bytes`
+    return train([r["text"].encode("utf-8") for r in found], np.array([float(r["label"]) for r in found]))
+
+
+def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """Every row of ``docs`` with whether it is held out, the score of its whole text, and 1 or 0, under ``names``; columns that ``docs`` has under these are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # some thousand weights
-    new = "held_out boolean, score double, predicted int"
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    body = docs.select(*[docs[c] for c in kept]).withColumn("held_out", held_out(docs[id_col]))
+    new = f"`{names[0]}` boolean, `{names[1]}` double, `{names[2]}` int"
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    body = docs.select(*[docs[c] for c in kept]).withColumn(names[0], held_out(docs[id_col]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -140,7 +184,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
                 if len(held) == 64 or i == len(texts) - 1:
                     scores[start : i + 1] = model.scores(held)
                     start, held = i + 1, []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*batch.schema.names, *names[1:]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     return body.mapInArrow(run, f"{schema}{', ' * bool(schema)}{new}")

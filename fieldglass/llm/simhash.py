@@ -1,14 +1,16 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Fingerprints that differ in at most r bits agree on at least one of r + 1 blocks of bits, so each
-distinct fingerprint is dealt once per block, to the cell of that block's value; no pair is missed.
+Fingerprints that differ in at most r bits agree on at least two of r + 2 blocks of bits, so each
+distinct fingerprint is dealt once per pair of blocks, to the cell of those blocks' values; no pair is missed.
+At r = 3 that is ten cells of 25 or 26 bits each: 10^11 fingerprints give some 1,500 to a cell.
 A cell is searched through a Gray-order index: fingerprints sorted by Gray rank (neighbours in that
 order differ in few bits), cut into nodes of doubling size that hold the bits all members share and
 their values. A query adds up its differences from a node's shared bits and drops the whole
 node beyond r. Nodes whose members can't differ in more than r bits are linked as a whole. A cell
 gives back a forest (each fingerprint linked to one of its component), never all pairs. Cells with
-more than ``CELL`` fingerprints are cut into chunks, and each pair of chunks is a cell of its own, so a
-hot block value is searched by many tasks. Forests are joined by iterated star contraction on tables.
+more than ``CELL`` fingerprints are cut into chunks: each chunk is searched in itself once, and each pair of chunks
+against one another, so a hot block value is searched by many tasks. Forests are joined by iterated star contraction
+on tables. Fingerprints that many rows share (empty texts, boilerplate) are joined back by broadcast, the others by a shuffle.
 
 Nulls count as empty texts; empty texts have fingerprint zero and link like others. Equal texts have
 equal fingerprints and are one vertex. A null id is never a representative unless all are null.
@@ -22,15 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, materialise, require
+from .common import LOWER_BYTES, bounded, discard, materialise, require
 
 SEED = 42
 RADIUS = 3
 #: Fingerprints that one task searches at once; larger cells are cut into pairs of chunks.
 CELL = 8192
+#: Rows from which a fingerprint is not joined by a shuffle.
+HOT = 10_000
 WIDTH = 64
 
 
@@ -123,18 +127,20 @@ def find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, least fingerprint of its component) of the links among ``values``, which are distinct."""
+def forest(values: np.ndarray, radius: int, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fingerprint, least fingerprint of its component) of the links among ``values``, or only of those between ``values`` and ``others``. All are distinct."""
     index = GrayIndex(values)
-    values, n = index.values, len(values)
-    parent = np.arange(n)
-    free = np.ones(n, bool)  # members that still have to ask
-    mask, _ = index.levels[0]
-    for node in np.flatnonzero(WIDTH - np.bitwise_count(mask) <= radius):  # so alike that all members link
-        lo, hi = node * index.LEAF, min((node + 1) * index.LEAF, n)
-        parent[lo:hi] = lo
-    for qi, member in index.near(values[free], radius):
-        a, b = qi, member
+    n = len(index.values)
+    members = index.values if others is None else np.concatenate([index.values, others])
+    parent = np.arange(len(members))
+    if others is None:
+        mask, _ = index.levels[0]
+        for node in np.flatnonzero(WIDTH - np.bitwise_count(mask) <= radius):  # so alike that all members link
+            lo, hi = node * index.LEAF, min((node + 1) * index.LEAF, n)
+            parent[lo:hi] = lo
+    shift = 0 if others is None else n
+    for qi, member in index.near(members[shift:], radius):
+        a, b = qi + shift, member
         while True:  # vectorised union: hang the larger root below the smaller until both ends agree
             ra, rb = root(parent, a), root(parent, b)
             apart = ra != rb
@@ -142,11 +148,11 @@ def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                 break
             a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
             np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-    top = root(parent, np.arange(n))
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, top, values)
-    linked = least[top] != values
-    return values[linked], least[top][linked]
+    top = root(parent, np.arange(len(members)))
+    least = np.full(len(members), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, top, members)
+    linked = least[top] != members
+    return members[linked], least[top][linked]
 
 
 def root(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -158,20 +164,30 @@ def root(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
         up = nxt
 
 
+def cell_keys(bits: str, radius: int) -> Column:
+    """For each pair of ``radius + 2`` blocks, one number of the pair and both values: two fingerprints within the radius have one in common."""
+    edges = [WIDTH * i // (radius + 2) for i in range(radius + 3)]
+    spans = list(zip(edges, edges[1:]))
+
+    def part(lo: int, hi: int) -> Column:
+        return F.shiftrightunsigned(F.shiftleft(bits, WIDTH - hi), WIDTH - hi + lo)
+
+    pairs = [(a, b) for i, a in enumerate(spans) for b in spans[i + 1 :]]
+    return F.array(*[F.struct(F.lit(k).alias("pair"), F.shiftleft(part(*a), b[1] - b[0]).bitwiseOR(part(*b)).alias("part")) for k, (a, b) in enumerate(pairs)])
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Forest edges (a, b) over the distinct fingerprints in column ``bits``; a and b are in one component through links of at most ``radius`` bits."""
-    edges = [WIDTH * i // (radius + 1) for i in range(radius + 2)]
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft("bits", WIDTH - hi), WIDTH - hi + lo).alias("part")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    dealt = distinct.select("bits", F.explode(keys).alias("k")).select("bits", "k.block", "k.part")
-    sizes = dealt.groupBy("block", "part").agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = distinct.select("bits", F.explode(cell_keys("bits", radius)).alias("k")).select("bits", "k.pair", "k.part")
+    sizes = dealt.groupBy("pair", "part").agg(F.count("*").alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("bits"), F.col("chunks")).cast("int")
     cells = (
-        dealt.join(sizes.withColumn("chunks", chunks), ["block", "part"])
+        dealt.join(sizes.withColumn("chunks", chunks), ["pair", "part"])
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("bits", "block", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .repartition("block", "part", "i", "j")
+        .select("bits", "pair", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+        .repartition("pair", "part", "i", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,27 +196,37 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             return
         t = pa.Table.from_batches(tables)
         bits = t.column("bits").to_numpy().view(np.uint64)
-        cols = [t.column(c).to_numpy() for c in ("part", "block", "i", "j")]
+        own, *cols = (t.column(c).to_numpy() for c in ("own", "part", "pair", "i", "j"))
         order = np.lexsort(cols)
         cut = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in cols], axis=0)) + 1
-        a, b = [], []
-        for part in np.split(bits[order], cut):
-            if len(part) > 1:
-                x, y = forest(part, radius)
-                a.append(x)
-                b.append(y)
+        first, second, a, b = cols[2], cols[3], [], []
+        for at in np.split(order, cut):
+            if first[at[0]] == second[at[0]]:
+                found = forest(bits[at], radius) if len(at) > 1 else None
+            else:  # two chunks of one cell: each is searched in itself elsewhere
+                left = own[at] == first[at[0]]
+                found = forest(bits[at][left], radius, bits[at][~left]) if left.any() and not left.all() else None
+            if found:
+                a.append(found[0])
+                b.append(found[1])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
+def seal(edges: DataFrame) -> tuple:
+    """Number of edges and two sums over them, so that two sets of edges can be compared without a join."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(vertex, label): the least vertex of each component, by alternating large and small stars until nothing changes.
 
     Each round works on at most as many edges as there were at first, aggregates before it joins, and is written to the shared folder.
     """
     at = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v != u").distinct(), "edges")
+    now = seal(at)
     for _ in range(rounds):
         both = at.unionByName(at.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -208,7 +234,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("v != u").distinct()
         new = materialise(small, "edges")
-        if new.exceptAll(at).isEmpty() and at.exceptAll(new).isEmpty():
+        before, now = now, seal(new)
+        discard(at)
+        if before == now:
             return new.select(F.col("v").alias("vertex"), F.col("u").alias("label"))
         at = new
     raise RuntimeError("components did not settle")
@@ -217,9 +245,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable over links."""
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("bits").agg(F.min(id_col).alias("least"))
+    distinct = materialise(prints.groupBy("bits").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct.select("bits"), radius))
-    labelled = distinct.join(found, distinct.bits == found.vertex, "left").select("bits", "least", F.coalesce("label", "bits").alias("label"))
+    labelled = distinct.join(found, distinct.bits == found.vertex, "left").select("bits", "n", "least", F.coalesce("label", "bits").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_bits = labelled.join(smallest, "label").select("bits", "component_id")
-    return prints.join(by_bits, "bits").select(id_col, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    by_bits = materialise(labelled.join(smallest, "label").select("bits", "n", "component_id"), "labelled")
+    hot = bounded(by_bits.filter(F.col("n") > HOT), "hot").drop("n")  # one row for HOT rows and more
+    others = prints.join(hot.select("bits"), "bits", "left_anti").join(by_bits.filter(F.col("n") <= HOT).drop("n"), "bits")
+    out = prints.join(hot, "bits").unionByName(others)
+    return out.select(id_col, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

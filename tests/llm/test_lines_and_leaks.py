@@ -120,7 +120,10 @@ def bench(spark, *rows):
 def plain_leaks(data, items, threshold=0.8):
     """Best similarity over all windows of all documents."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    out = {}
+    out, held = {}, {}
+    for i, t in data:
+        w = words(t)
+        held[i, t] = w, {k: {tuple(w[x : x + k]) for x in range(len(w) - k + 1)} for k in range(1, 6)}
     for j, item in items:
         iw = words(item)
         if not iw:
@@ -128,7 +131,9 @@ def plain_leaks(data, items, threshold=0.8):
         k = min(5, len(iw))
         bag = Counter(tuple(iw[i : i + k]) for i in range(len(iw) - k + 1))
         for i, t in data:
-            w = words(t)
+            w, own = held[i, t]
+            if own[k].isdisjoint(bag):
+                continue  # no window shares anything
             for s in range(max(1, len(w) - k + 1)):
                 own = Counter(tuple(w[s : s + len(iw)][x : x + k]) for x in range(len(w[s : s + len(iw)]) - k + 1))
                 if own:
@@ -154,6 +159,31 @@ def test_leaks_equal_all_windows(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted({i for i, _ in data} - {i for i, _ in want}) and left.columns == [c.split()[0] for c in LEAK_COLS.split(", ")]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_rearranged_items_equal_all_windows(spark, seed):
+    """Halves swapped, blocks moved, doubled and dropped: what no alignment of shared shingles shows as one copy."""
+    rng = random.Random(seed)
+    items, data = [], []
+    for j in range(3):
+        words = [f"i{j}_{rng.randint(0, 60)}" for _ in range(rng.choice([40, 58, 80]))]
+        items.append((j, " ".join(words)))
+        half = len(words) // 2
+        data.append((10 * j, " ".join(["x"] * rng.randint(0, 90) + words[half:] + words[:half] + ["y"] * rng.randint(0, 90))))
+        for n in range(1, 6):
+            own = list(words)
+            for _ in range(rng.randint(0, 2)):
+                a, size, to = rng.randrange(len(own)), rng.randint(1, 25), rng.randrange(len(own))
+                block = own[a : a + size]
+                if rng.random() < 0.7:
+                    del own[a : a + size]
+                own[to:to] = block
+            data.append((10 * j + n, " ".join(["x"] * rng.randint(0, 30) + own + ["y"] * rng.randint(0, 30))))
+    got = decontaminate.report(leak_docs(spark, *data), bench(spark, *items)).collect()
+    want = plain_leaks(data, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert any(i == 10 * j for i, j in want)
+
+
 @pytest.mark.parametrize("size, end, inserted", [(58, 0, 2), (64, 0, 2), (120, 2, 6), (30, 0, 1), (58, 0, 0)])
 def test_windows_between_alignments(spark, size, end, inserted):
     item = [f"i{j}" for j in range(size)]

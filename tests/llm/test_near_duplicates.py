@@ -168,3 +168,38 @@ def test_links_beyond_the_radius_are_verified():
     sets = [np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(50, 60, dtype=np.uint64)]
     bits = np.array([0, 2**40 - 1, 0], np.uint64)
     assert similar.verified_forest(bits, sets, 0.8, 20) == [(0, 1)]
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_fingerprints_within_the_radius_share_a_cell(spark, radius):
+    from pyspark.sql import functions as F
+
+    rng, pairs = np.random.default_rng(radius), []
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63))
+        b = a
+        for bit in rng.choice(64, rng.integers(0, radius + 1), replace=False):
+            b ^= 1 << int(bit)
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(pairs, "a long, b long").select(simhash.cell_keys("a", radius).alias("x"), simhash.cell_keys("b", radius).alias("y"))
+    assert df.filter(~F.arrays_overlap("x", "y")).count() == 0 and len(df.first().x) == (radius + 2) * (radius + 1) // 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_forest_between_two_chunks(seed):
+    rng, values = random.Random(seed), set()
+    for v in [rng.getrandbits(64) for _ in range(6)] * 15:
+        for _ in range(rng.randint(0, 5)):
+            v ^= 1 << rng.randint(0, 63)
+        values.add(v)
+    left = set(rng.sample(sorted(values), len(values) // 2))
+    a, b = simhash.forest(np.array(sorted(left), np.uint64), 3, np.array(sorted(values - left), np.uint64))
+    near = [(x, y) for x in left for y in values - left if (x ^ y).bit_count() <= 3]
+    assert groups(values, zip(a.tolist(), b.tolist())) == groups(values, near) and near
+
+
+def test_fingerprints_of_many_rows_are_joined_by_broadcast(spark, monkeypatch, rows):
+    docs = spark.createDataFrame([(i, ("", "a b c d e", f"own text of number {i} and more")[i % 3]) for i in range(60)], "doc_id long, text string")
+    want = rows(simhash.near_duplicates(docs))
+    monkeypatch.setattr(simhash, "HOT", 5)
+    assert rows(simhash.near_duplicates(docs)) == want

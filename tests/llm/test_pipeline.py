@@ -49,6 +49,81 @@ def test_run_equals_the_stages(spark):
     assert sorted(map(tuple, pipeline.run(spark, small).select(key).collect())) == sorted(map(tuple, docs.select(key).collect()))
 
 
+def test_near_duplicates_of_the_stage_input_equal_brute_force(spark):
+    """Of the documents as line dedup leaves them, exactly one of each group at 0.8 stays, and of the raw table too."""
+    import itertools
+
+    from fieldglass.llm.simhash import shingle_hashes
+
+    raw = table(spark, DATA, "documents")
+    for docs in (pipeline.without_repeated_lines(spark, pipeline.good_quality(spark, raw, DATA), DATA), raw):
+        docs = materialise(docs, "input")
+        rows = docs.select("doc_id", "text").collect()
+        sets = {r.doc_id: frozenset(shingle_hashes(r.text, 5).tolist()) for r in rows}
+        holders = {}
+        for i, own in sets.items():
+            for h in own or {None}:
+                holders.setdefault(h, set()).add(i)
+        together = {p for ids in holders.values() for p in itertools.combinations(sorted(ids), 2)}
+        parent = {i: i for i in sets}
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in together:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                parent[max(x, y)] = min(x, y)
+        want = {i for i in sets if top(i) == i}
+        got = {r.doc_id for r in pipeline.one_of_each_group(spark, docs, DATA).select("doc_id").collect()}
+        assert got == want
+    assert len(want) < len(sets)
+
+
+ODD = "doc_id long, text string, id string, row int, score double, predicted int, n_lines int, stays string, __id_ string, held_out boolean"
+
+
+def odd(spark, *rows):
+    return spark.createDataFrame([(i, t, "x", 1, 0.25, 7, 9, "y", "z", None) for i, t in rows], ODD)
+
+
+def test_stages_on_odd_documents(spark):
+    """No n_chars; columns with the operators' own names; nulls, empty and repeated rows; each stage hands on the caller's values."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    docs = odd(spark, (1, None), (2, ""), (None, "line one is here and it is long\nand another line"), (4, long), (5, "same text as the other one here"), (5, "same text as the other one here"), (6, "\n\n"))
+    for name, stage in pipeline.STAGES[1:4]:
+        out = materialise(stage(spark, docs, "/root/testdata/sf0.001"), "odd")
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        kept = out.collect()
+        assert all((r.id, r.row, r.score, r.predicted, r.n_lines, r.stays, r["__id_"], r.held_out) == ("x", 1, 0.25, 7, 9, "y", "z", None) for r in kept)
+        ids = sorted((r.doc_id for r in kept), key=repr)
+        want = {"SimHash near-dedup": [1, 4, 5, None]}.get(name, [1, 2, 4, 5, 5, 6, None])
+        assert ids == sorted(want, key=repr), name
+    kept = pipeline.good_quality(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns and all((r.score, r.predicted) == (0.25, 7) for r in kept.collect())
+    pieces = pipeline.packed(spark, docs, "").collect()
+    assert len(pieces) >= 7 and {r.doc_id for r in pieces} == {1, 2, None, 4, 5, 6}
+
+
+def test_stages_on_no_documents(spark):
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, odd(spark), "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_a_stage_leaves_no_intermediate_tables(spark, tmp_path):
+    import os
+
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        pipeline.run(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
+    assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)) == ["benchmark-decontamination", "pieces"]
+
+
 def test_registry():
     import __spark_entry__ as e
 
