@@ -585,3 +585,6 @@ def simulate_candidates(spark, sf_dir):
     state = league.DraftState(league.League(12, league.RosterConfig(def_=0, bench=2)), managers, available)
     snap = simulate.snapshot(state, {p: 100.0 for p in league.POSITIONS})
     return simulate.simulate_candidates(spark, snap, list(available)[:10], 200, 50)
+
+
+from fieldglass import composites  # noqa: E402, F401 - registers its queries with the names above
