@@ -98,3 +98,26 @@ def test_html_tables(spark):
     got = sorted(tuple(r) for r in documents.projections(pages, codes).collect())
     assert got == [("Bills", "BUF", "DEF", 1380.5), ("Josh Allen", "BUF", "QB", 1380.5)]
     assert documents.html_tables(pages, ("Player", "FPTS")).filter("page_id = 1").count() == 2
+
+
+def test_service_documents_by_name(spark):
+    from fieldglass.sources.service import PATHS, DraftService
+
+    answers = {
+        "http://s/v1/draft/7": {"draft_id": "7", "status": "complete", "settings": {"rounds": 15}},
+        "http://s/v1/draft/7/picks": [{"pick_no": 1, "player_id": "a"}, {"pick_no": 2, "player_id": "b"}],
+        "http://s/v1/league/9": {"league_id": "9", "scoring_settings": {"rec": 0.5}},
+        "http://s/v1/league/9/rosters": [{"roster_id": 1, "players": ["a"]}, {"roster_id": 2}],
+        "http://s/v1/players/nfl/trending/add?lookback_hours=24&limit=5": [{"player_id": "a", "count": 3}],
+        "http://s/v1/user/a%2Fb": None,
+    }
+    service = DraftService(spark, "http://s/v1/", answers.__getitem__)
+    assert [r.player_id for r in service.get("picks", draft_id="7").collect()] == ["a", "b"]
+    assert service.scoring_type("9") == "half_ppr" and service.get("draft", draft_id=7).first().roster.bench == 6
+    assert [r.players for r in service.get("league_rosters", league_id=9).collect()] == [["a"], []]
+    assert service.get("trending", limit=5).first().asDict() == {"player_id": "a", "count": 3}
+    assert service.get("user", username="a/b").count() == 0
+    assert service.is_complete("7", 2) and not service.is_complete("7", 1)
+    with pytest.raises(KeyError):
+        service.url("matchups", league_id=9)
+    assert len(PATHS) == 11
