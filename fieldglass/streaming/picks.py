@@ -118,6 +118,10 @@ class Follower:
         self.last: dict[str, dict] = {}
         self.lock = threading.Lock()
 
+    def picks_seen(self, draft_id: str) -> int:
+        with self.lock:
+            return self.last.get(draft_id, {}).get("picks", 0)
+
     def __call__(self, states: DataFrame, batch_id: int) -> None:
         for row in states.orderBy("draft_id").toLocalIterator():  # one row for each live draft
             state = row.asDict()
@@ -134,3 +138,15 @@ class Follower:
     def snapshot(self, draft_id: str) -> dict | None:
         with self.lock:
             return self.last.get(draft_id)
+
+
+def follow(states: DataFrame, sink: Follower, finished: Callable[[], bool], checkpoint: str, poll: float = 0.5) -> None:
+    """Feed ``states`` to ``sink`` every ``poll`` seconds until ``finished`` says so: the draft is over and all its picks are seen."""
+    query = states.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, round(poll * 1000))} milliseconds").start()
+    try:
+        while not query.awaitTermination(poll):
+            if finished():
+                query.processAllAvailable()
+                return
+    finally:
+        query.stop()

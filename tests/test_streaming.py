@@ -62,3 +62,18 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "c").mkdir()
     got = fold.run_available(spark, str(tmp_path / "in" / "*"), rows.schema, str(tmp_path / "c"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold.running_totals(rows).collect()))
+
+
+def test_following_ends_when_the_draft_is_complete_and_all_is_seen(spark, tmp_path):
+    path = tmp_path / "picks.json"
+    path.write_text(json.dumps([raw(n, p) for n, p in enumerate("ab", 1)]))
+    events = []
+    follower = picks.Follower(events.append)
+
+    def finished():
+        if follower.picks_seen("D") == 2:
+            path.write_text(json.dumps([raw(n, p) for n, p in enumerate("abcd", 1)]))
+        return follower.picks_seen("D") == 4
+
+    picks.follow(picks.fold(picks.pick_stream(spark, str(path), "D"), 2, 2), follower, finished, str(tmp_path / "c"))
+    assert [e["event"] for e in events] == ["pick", "complete"] and not spark.streams.active
