@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .columns import column_safe
 
 __all__ = [
-    "best_other", "descending", "gap_to_next", "gradient", "keep_first", "latest", "minmax_all", "minmax_within", "next_true_distance",
+    "best_other", "descending", "gap_to_next", "gradient", "keep_first", "latest", "minmax_all", "minmax_by", "minmax_within", "next_true_distance",
     "percentile_expanding", "percentile_rank", "percentile_reversed", "place", "running_tier", "softmax", "terciles", "top_k", "weighted_draw",
 ]
 
@@ -62,9 +63,28 @@ def minmax_within(value: Column | str, by: Sequence[str], invert: bool = False,
 
 def minmax_all(df: DataFrame, value: str, name: str) -> DataFrame:
     """Scaled to 0..1 over all rows, by a joined one-row aggregate, not by a window without partitions. Null stays null."""
-    ends = df.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    scaled = (F.col(value) - F.col("__low")) / F.when(F.col("__high") == F.col("__low"), F.lit(1.0)).otherwise(F.col("__high") - F.col("__low"))
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, scaled).drop("__low", "__high")  # one row
+    return minmax_by(df, [], {name: (value, False, None)})
+
+
+def minmax_by(df: DataFrame, by: Sequence[str], scales: Mapping[str, tuple[str, bool, float | None]]) -> DataFrame:
+    """Columns name -> (value, inverted, what null gives) scaled to 0..1 within ``by``: one aggregate of all ends, joined back.
+
+    Unlike a window, a group's rows stay in the tasks they are in, so a few large groups do not become a few tasks.
+    """
+    keys, at = [f"__g{i}" for i in range(len(by))], range(len(scales))
+    ends = [agg(v).alias(f"__{end}{i}") for i, (v, _, _) in zip(at, scales.values()) for end, agg in (("low", F.min), ("high", F.max))]
+    found = df.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)]).agg(*ends)
+    if by:
+        joined = df.join(found, functools.reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]), "left")
+    else:
+        joined = df.crossJoin(F.broadcast(found))  # one row
+    out = {}
+    for i, (name, (value, invert, null_as)) in zip(at, scales.items()):
+        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
+        scaled = (F.col(value) - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)
+        scaled = 1 - scaled if invert else scaled
+        out[name] = scaled if null_as is None else F.coalesce(scaled, F.lit(null_as))
+    return joined.withColumns(out).drop(*keys, *[f"__{end}{i}" for i in at for end in ("low", "high")])
 
 
 def keep_first(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:

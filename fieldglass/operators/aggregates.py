@@ -45,10 +45,13 @@ def depth(teams: int, slots: Mapping[str, int], flex: int = 0, shares: Mapping[s
 
 
 def replacement_levels(pool: DataFrame, depths: Mapping[str, int], position: str = "position", value: str = "projected_points", *ties: str) -> DataFrame:
-    """(position, replacement): the value just below each position's depth, 0.0 where the list is shorter."""
+    """(position, replacement): the value just below each position's depth, 0.0 where the list is shorter.
+
+    Only the first rows of each position are ranked: the limit on the rank is applied in every task before the shuffle.
+    """
     table = literal_map(depths)
     order = Window.partitionBy(position).orderBy(F.col(value).desc_nulls_last(), *[F.col(t) for t in ties])
-    ranked = pool.filter(F.col(position).isin(list(depths))).withColumn("__rn", F.row_number().over(order))
+    ranked = pool.filter(F.col(position).isin(list(depths))).withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= max(depths.values(), default=0) + 1)
     level = F.max(F.when(F.col("__rn") == F.try_element_at(table, F.col(position)) + 1, F.col(value)))
     found = ranked.groupBy(position).agg(level.alias("replacement"))
     known = pool.sparkSession.createDataFrame([(p,) for p in depths], f"`{position}` string")

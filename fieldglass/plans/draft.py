@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions import gap_to_next, gradient, lookup, minmax_all, minmax_within, place, running_tier, terciles, top_k
+from fieldglass.functions import gap_to_next, gradient, lookup, minmax_by, minmax_within, place, running_tier, terciles, top_k
 from fieldglass.operators import depth, replacement_levels
 from fieldglass.plans.league import League, RosterConfig
 
@@ -72,7 +72,7 @@ def gradient_scarcity(pool: DataFrame, position: str = "position", value: str =
     """rank and scarcity: slope plus absolute curvature of the sorted values, scaled within the position."""
     by = [position]
     out = pool.withColumns({"position_rank": place(by, value, ID), "__raw": gradient(by, value, ID)})
-    return out.withColumn("scarcity", minmax_within("__raw", by)).drop("__raw")
+    return out.withColumn("scarcity", minmax_within("__raw", by)).drop("__raw")  # in the partitions that the gradient's order needs anyway
 
 
 def need_with_depth(roster: RosterConfig, counts: Mapping[str, int]) -> dict[str, float]:
@@ -99,7 +99,7 @@ def draft_scores(pool: DataFrame, league: League, taken: int, counts: Mapping[st
     scored = value_over_replacement(pool, replacement if replacement is not None else levels(pool, league))
     scored = gradient_scarcity(value_over_next(scored, taken, league.roster, counts))
     scored = scored.withColumn("need", lookup("position", {p: float(x) for p, x in need_with_depth(league.roster, counts).items()}, F.lit(0.0)))
-    scored = minmax_all(minmax_all(scored, "vor", "vor_norm"), "vona", "vona_norm")
+    scored = minmax_by(scored, [], {"vor_norm": ("vor", False, None), "vona_norm": ("vona", False, None)})
     total = weights.vor * F.col("vor_norm") + weights.vona * F.col("vona_norm") + weights.scarcity * F.col("scarcity") + weights.need * F.col("need")
     return scored.withColumn("total_score", total).orderBy(F.desc("total_score"), ID)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions import choose, latest, minmax_within, ratio_or_null
+from fieldglass.functions import choose, latest, minmax_by, ratio_or_null
 from fieldglass.operators import both_sides, form, mean_over_opponents
 
 POSITIONS = ["QB", "RB", "WR", "TE", "K"]
@@ -82,16 +82,16 @@ def player_ids(ids: DataFrame, ranks: DataFrame) -> DataFrame:
 def blend(df: DataFrame, weights: FreeAgentWeights = FreeAgentWeights(), by: str = "position") -> DataFrame:
     """Six norms within ``by``, and their weighted sum. Less variation is better; without a variation a player stands in the middle."""
     norms = {
-        "norm_recent": minmax_within("mean_points", [by]),
-        "norm_consistency": minmax_within("consistency_cv", [by], invert=True, null_as=0.5),
-        "norm_vs_expectation": minmax_within("mean_vs_expectation", [by]),
-        "norm_opportunity": minmax_within("mean_opportunity", [by]),
-        "norm_trend": minmax_within("trend_slope", [by]),
-        "norm_schedule": minmax_within("schedule_quality", [by]),
+        "norm_recent": ("mean_points", False, 0.0),
+        "norm_consistency": ("consistency_cv", True, 0.5),
+        "norm_vs_expectation": ("mean_vs_expectation", False, 0.0),
+        "norm_opportunity": ("mean_opportunity", False, 0.0),
+        "norm_trend": ("trend_slope", False, 0.0),
+        "norm_schedule": ("schedule_quality", False, 0.0),
     }
     parts = [weights.recent, weights.consistency, weights.vs_expectation, weights.opportunity, weights.trend, weights.schedule]
     total = sum((w * F.col(n) for w, n in zip(parts[1:], list(norms)[1:])), parts[0] * F.col("norm_recent"))
-    return df.withColumns(norms).withColumn("composite", total)
+    return minmax_by(df, [by], norms).withColumn("composite", total)
 
 
 def free_agents(

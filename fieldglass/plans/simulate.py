@@ -7,11 +7,12 @@ seeded by seed, candidate and chunk, so a lost task repeats itself exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,14 @@ NEED_ADP, GREEDY_VOR, ADP, WEIGHTED = 0, 1, 2, 3
 
 @dataclass(frozen=True)
 class PickModel:
-    """How a manager picks. need_weight, floor and fade are those of NEED_ADP; the others those of WEIGHTED."""
+    """How a manager picks. need_weight, floor and fade are those of NEED_ADP; the others those of WEIGHTED.
 
-    strategy: int = NEED_ADP
+    In place of a strategy's number, a caller's own: ``strategy(snapshot, at, available, counts, rng)`` gives the player of each
+    simulation at remaining pick ``at``; ``available`` is simulations by players, ``counts`` simulations by positions held. It is
+    sent to the tasks, so it must be importable there or picklable.
+    """
+
+    strategy: int | Callable[..., np.ndarray] = NEED_ADP
     need_weight: float = 0.30
     floor: float = 0.15
     fade: float = 0.70
@@ -160,6 +166,11 @@ def composite(s: Snapshot, available: np.ndarray, counts: np.ndarray, ahead: int
 def choose(s: Snapshot, at: int, available: np.ndarray, counts: np.ndarray, model: PickModel, rng: np.random.Generator) -> np.ndarray:
     """The player each simulation's manager takes at remaining pick ``at``."""
     pick = s.first_pick + at
+    if callable(model.strategy):
+        taken = np.asarray(model.strategy(s, at, available, counts, rng))
+        if not available[np.arange(len(taken)), taken].all():
+            raise ValueError("a pick model took a player that is gone")
+        return taken
     if model.strategy in (NEED_ADP, ADP):
         z = (pick - s.adp) / np.maximum(s.std, 1.0)
         weights = np.exp(-0.5 * z * z) * available
@@ -215,15 +226,16 @@ def simulate(s: Snapshot, candidate: str, n: int, rng: np.random.Generator) -> n
 def simulate_candidates(spark: SparkSession, s: Snapshot, candidates: Sequence[str], n: int = 500, chunk: int = 125, seed: int = 0) -> DataFrame:
     """player_id, mean_score, std_score (of the population), n_simulations, best first."""
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(s)  # a few arrays of one entry for each player
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(s))  # a few arrays of one entry for each player; callers' models go along
     rows = [(c, i, k, min(chunk, n - k * chunk)) for i, c in enumerate(candidates) for k in range(-(-n // chunk))]
     schema = "player_id string, number int, chunk int, n int"
     work = spark.createDataFrame(rows, schema).repartition(max(1, len(rows)), "number", "chunk")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        snap = cloudpickle.loads(shared.value)
         for part in parts:
             for r in part.itertuples():
-                yield pd.DataFrame({"player_id": r.player_id, "score": simulate(shared.value, r.player_id, r.n, np.random.default_rng([seed, r.number, r.chunk]))})
+                yield pd.DataFrame({"player_id": r.player_id, "score": simulate(snap, r.player_id, r.n, np.random.default_rng([seed, r.number, r.chunk]))})
 
     scores = work.mapInPandas(run, "player_id string, score double")
     out = scores.groupBy("player_id").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.count(F.lit(1)).alias("n_simulations"))

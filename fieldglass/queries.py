@@ -140,8 +140,8 @@ def position_expand(spark, sf_dir):
     SELECT c_custkey, round(coalesce((v - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END, 0.0), 6) AS plain, round(coalesce(1 - (v - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END, 0.5), 6) AS inverted FROM e""")
 def minmax_norm(spark, sf_dir):
     v = Tables(spark, sf_dir).customer.select("c_custkey", "c_mktsegment", F.when(F.col("c_nationkey") != 3, F.col("c_acctbal")).alias("v"))
-    out = v.select("c_custkey", fn.minmax_within("v", ["c_mktsegment"]).alias("plain"), fn.minmax_within("v", ["c_mktsegment"], True, 0.5).alias("inverted"))
-    return out.withColumns(r6("plain", "inverted"))
+    out = fn.minmax_by(v, ["c_mktsegment"], {"plain": ("v", False, 0.0), "inverted": ("v", True, 0.5)})
+    return out.select("c_custkey", *[F.round(c, 6).alias(c) for c in ("plain", "inverted")])
 
 
 @query(f"""

@@ -131,3 +131,13 @@ def test_weighted_models_agree_with_scarcity_plan(spark):
     got = dict(zip(snap.ids, simulate.scarcity(snap, snap.available[None])[0]))
     want = {r.player_id: r.scarcity for r in draft.gradient_scarcity(pool(spark, *SIX)).collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_a_pick_model_of_ones_own(spark):
+    worst = simulate.PickModel(lambda s, at, available, counts, rng: np.where(available, s.points, np.inf).argmin(axis=1))
+    snap = simulate.snapshot(state(), {}, worst, worst)
+    got = {r.player_id: (r.mean_score, r.std_score) for r in simulate.simulate_candidates(spark, snap, ["q1", "r1"], 4, 2).collect()}
+    assert got == {"q1": (670.0, 0.0), "r1": (300.0, 0.0)}  # q1 and r2; r1 alone, without a quarterback
+    gone = simulate.PickModel(lambda s, at, available, counts, rng: np.zeros(len(available), int))
+    with pytest.raises(ValueError):
+        simulate.simulate(simulate.snapshot(state(), {}, gone, gone), "q1", 2, np.random.default_rng(0))
