@@ -5,6 +5,8 @@ string, its verdict, and the strings. Workers memory-map the file, probe it for
 vectorised binary search, and confirm every hit against the stored string, so that colliding digests cannot
 decide. A url's candidates are its host and each parent domain, joined with each prefix of its path that has
 the length of some rule's path. The file goes out once per executor, and again to those that replace it.
+A list of hosts may be a table of any size that fits an executor's disk: its keys are hashed and sorted by
+Spark, in ranges, and the driver streams the sorted blocks into the file, a block at a time.
 
 The longest fitting rule decides (of equal lengths, the one with the longer host). Without one, the method
 decides: hosts that are listed, or under a listed one, are blocked, all others allowed. A null url, or one
@@ -14,6 +16,7 @@ each. An empty table gives no rows. Other columns than the two named are not rea
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, require
+from .common import ascii_lower, discard, fresh_path, materialise, require
 
 ALLOW, BLOCK = "allow", "block"
 #: The production rules: verdict, host, path.
@@ -34,6 +37,9 @@ LISTED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "cas
 HEAD = struct.Struct("<8sQQ")
 
 
+ENTRIES = 1 << 16  # of a sorted block
+
+
 def digest_bytes(entries: Iterable[tuple[str, int]], lengths: Iterable[int] = ()) -> bytes:
     """The file of (string, verdict) entries; of one string's entries the last counts. ``lengths`` are stored beside them."""
     found = {k.encode("utf-8"): v for k, v in entries}
@@ -44,6 +50,31 @@ def digest_bytes(entries: Iterable[tuple[str, int]], lengths: Iterable[int] = ()
     return b"".join([HEAD.pack(b"digests1", len(strings), len(extra)), *(block.tobytes() for block in (keys, ends, extra, verdicts)), *strings])
 
 
+def digest_blocks(entries: DataFrame) -> DataFrame:
+    """(place, n, keys, sizes, verdicts, pool) of rows of (string, verdict): sorted blocks whose places are in the order of their keys. Of a string's verdicts the largest counts; null strings are none."""
+    distinct = entries.filter("string IS NOT NULL").groupBy("string").agg(F.max("verdict").cast("int").alias("verdict"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([xxhash.xxh64_intdigest(s.as_py().encode("utf-8")) for s in batch.column(0)], np.uint64)
+            place = keys ^ np.uint64(1 << 63)  # as signed numbers these are in the order of the unsigned keys
+            yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(keys.view(np.int64)), batch.column(0), batch.column(1)], names=["place", "key", "string", "verdict"])
+
+    ordered = distinct.mapInArrow(hashed, "place long, key long, string string, verdict int").repartitionByRange("place", "string").sortWithinPartitions("place", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ENTRIES):
+                part = batch.slice(at, ENTRIES)
+                strings = [s.as_py().encode("utf-8") for s in part.column(2)]
+                keys, sizes = part.column(1).to_numpy().astype("<i8"), np.array([len(s) for s in strings], "<u8")
+                verdicts = part.column(3).to_numpy().astype(np.uint8)
+                first = part.column(0)[0].as_py(), strings[0].decode("utf-8")
+                yield pa.RecordBatch.from_pylist([{"place": first[0], "first": first[1], "n": len(strings), "keys": keys.tobytes(), "sizes": sizes.tobytes(), "verdicts": verdicts.tobytes(), "pool": b"".join(strings)}])
+
+    return ordered.mapInArrow(run, "place long, first string, n long, keys binary, sizes binary, verdicts binary, pool binary")
+
+
 class Digests:
     """The stored entries, memory-mapped."""
 
@@ -103,22 +134,48 @@ def judge(rules: Digests, listed: Digests, hosts: list[str], paths: list[str]) -
     return rule, verdict
 
 
-def ship(spark: SparkSession, entries: Iterable[tuple[str, int]], lengths: Iterable[int] = ()) -> str:
-    """Put the file into the shared folder and have every executor fetch it once; returns its name."""
+def stored(spark: SparkSession, parts: Iterable[bytes]) -> str:
+    """One file of those parts in the shared folder, fetched once by every executor; its name."""
     path = fresh_path(spark, "digests")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-    out.write(digest_bytes(entries, lengths))
+    for part in parts:
+        out.write(part)
     out.close()
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[1]
 
 
-def filter_urls(pages: DataFrame, rules=RULES, listed: Iterable[str] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict) of every row."""
+def ship(spark: SparkSession, entries: Iterable[tuple[str, int]] | DataFrame, lengths: Iterable[int] = ()) -> str:
+    """The file of the entries, or of a table of (string, verdict), for ``Digests(SparkFiles.get(name))`` on any executor."""
+    if not isinstance(entries, DataFrame):
+        return stored(spark, [digest_bytes(entries, lengths)])
+    blocks = materialise(digest_blocks(entries), "digest-blocks")
+    extra = np.array(sorted(set(lengths)), "<u8")
+
+    def column(name: str) -> Iterator[bytes]:
+        return (bytes(r[0]) for r in blocks.orderBy("place", "first").select(name).toLocalIterator())  # a partition at a time
+
+    def ends() -> Iterator[bytes]:
+        last = np.uint64(0)
+        yield last.tobytes()
+        for sizes in column("sizes"):
+            block = np.cumsum(np.frombuffer(sizes, "<u8"), dtype="<u8") + last
+            last = block[-1]
+            yield block.tobytes()
+
+    n = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    try:
+        return stored(spark, itertools.chain([HEAD.pack(b"digests1", n, len(extra))], column("keys"), ends(), [extra.tobytes()], column("verdicts"), column("pool")))
+    finally:
+        discard(blocks)
+
+
+def filter_urls(pages: DataFrame, rules=RULES, listed: Iterable[str] | DataFrame = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, host, path, rule, verdict) of every row. ``listed``: hosts, or a table whose first column holds them."""
     spark = pages.sparkSession
     rule_file = ship(spark, [(h + p, int(v == BLOCK)) for v, h, p in rules], [len(p) for _, _, p in rules])
-    host_file = ship(spark, [(h, 1) for h in listed])
+    host_file = ship(spark, listed.select(F.col(listed.columns[0]).alias("string"), F.lit(1).alias("verdict")) if isinstance(listed, DataFrame) else [(h, 1) for h in listed])
     form = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     url = F.coalesce(pages[url_col], F.lit(""))
     parts = require(pages, id_col, url_col).select(id_col, ascii_lower(F.regexp_extract(url, form, 1)).alias("host"), F.regexp_extract(url, form, 2).alias("path"))

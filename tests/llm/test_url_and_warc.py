@@ -29,6 +29,27 @@ def test_empty_digests(tmp_path):
     assert url_filter.Digests(str(tmp_path / "d")).probe([b"x"]).tolist() == [-1]
 
 
+def test_digests_from_a_table_equal_those_from_a_list(spark):
+    from pyspark import SparkFiles
+
+    entries = [(f"host{i % 900}.example.{'é' * (i % 3)}", i % 2) for i in range(1500)] + [("", 1)]
+    table = spark.createDataFrame([*entries, (None, 1)], "string string, verdict int").repartition(5)
+    best = {}
+    for k, v in entries:
+        best[k] = max(v, best.get(k, 0))
+    with open(SparkFiles.get(url_filter.ship(spark, table, [3, 1])), "rb") as f:
+        assert f.read() == url_filter.digest_bytes(best.items(), [1, 3])
+    with open(SparkFiles.get(url_filter.ship(spark, table.limit(0))), "rb") as f:
+        assert f.read() == url_filter.digest_bytes([])
+
+
+def test_a_list_of_a_million_hosts(spark):
+    hosts = spark.range(1_000_000).selectExpr("concat('h', id, '.example.net') AS host")
+    pages = spark.createDataFrame([(1, "http://h999999.example.net/"), (2, "http://www.h0.example.net/x"), (3, "http://h1000000.example.net/"), (4, "http://example.net/"), (5, "http://xh5.example.net")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, listed=hosts).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 CASES = [
     ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
     ("http://example.org/en/123", "example.org", "/en/123", "example.org/en/1", "block"),
