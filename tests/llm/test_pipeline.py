@@ -112,15 +112,13 @@ def test_stages_on_no_documents(spark):
         assert stage(spark, odd(spark), "/root/testdata/sf0.001").count() == 0, name
 
 
-def test_a_stage_leaves_no_intermediate_tables(spark, tmp_path):
+def test_a_stage_leaves_no_intermediate_tables(spark, tmp_path, monkeypatch):
     import os
 
-    old = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        pipeline.run(spark, "/root/testdata/sf0.001").count()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+    from fieldglass.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    pipeline.run(spark, "/root/testdata/sf0.001").count()
     assert sorted(n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)) == ["benchmark-decontamination", "pieces"]
 
 
