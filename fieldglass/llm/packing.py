@@ -41,7 +41,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Fixed value: all but the characters on which the tokenizer's normaliser only lower-cases, and whose white space str.split() knows.
 UNUSUAL = r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]"
 #: Runs in each of the memo's two generations.
-GENERATION = 300_000
+GENERATION = 150_000
 
 
 class WordIds:

@@ -32,7 +32,7 @@ KERNEL = 16
 WEIGHT = 4.0
 #: Share of readings in training that take a short piece of a text in place of all of it, so that short texts are known too.
 PIECES = 0.2
-AT_ONCE = 512  # chunks that go through the network at a time
+AT_ONCE = 128  # chunks that go through the network at a time
 
 
 def chunks(data: bytes) -> np.ndarray:
