@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lexical, line_dedup, media_gif, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
+from . import decontaminate, lexical, line_dedup, media_gif, neighbours, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"), every=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES = {
         op9_token_counts,
         op10_media_gif,
         op12_lexical_search,
+        op13_nearest_neighbours,
     )
 }
 ORACLE = {"op1_url_filter": url_filter.oracle(), "op5_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op12_lexical_search": lexical.ORACLE}
