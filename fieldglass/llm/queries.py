@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lexical, line_dedup, media_gif, neighbours, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
+from . import decontaminate, lexical, line_dedup, media_gif, neighbours, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -82,8 +86,9 @@ QUERIES = {
         op8_secret_scan,
         op9_token_counts,
         op10_media_gif,
+        op11_vector_codes,
         op12_lexical_search,
         op13_nearest_neighbours,
     )
 }
-ORACLE = {"op1_url_filter": url_filter.oracle(), "op5_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op12_lexical_search": lexical.ORACLE}
+ORACLE = {"op1_url_filter": url_filter.oracle(), "op5_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_vector_codes": vector_codes.oracle(), "op12_lexical_search": lexical.ORACLE}
