@@ -5,8 +5,6 @@ Customers stand in for players, nations for teams (``T0`` to ``T24``), orders fo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,9 @@ from fieldglass.plans import athletic, draft, identity, inseason, league, pool,
 from fieldglass.queries import LEAGUE, SEGMENT, Tables, query, r6
 from fieldglass.queries import POOL as DRAFT_POOL
 from fieldglass.queries import pool as draft_pool
+from fieldglass.shared import shared_path
 from fieldglass.sources import documents
-from fieldglass.streaming import picks
+from fieldglass.streaming import drafts, picks
 
 
 def name_sql(x: str) -> str:
@@ -404,16 +403,43 @@ def resolved_picks(spark, sf_dir):
     SELECT draft_id, picks, picks + 1 AS current_pick, CASE WHEN picks + 1 > 600 THEN 0 WHEN (picks // 12) % 2 = 0 THEN picks % 12 + 1 ELSE 12 - picks % 12 END AS on_the_clock, picks + 1 > 600 AS is_complete, coalesce(third, '') AS third FROM t""")
 def state_fold(spark, sf_dir):
     """Picks of twenty drafts as a file stream, folded into draft states by the stateful operator, once to the stream's end."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "customer*.parquet").parquet(sf_dir)
-    made = derived(stream, {"draft_id": "concat('d', c_custkey % 20)", "pick_no": "CAST(c_custkey DIV 20 + 1 AS int)", "player_id": "c_name"})
-    name = f"states_{uuid.uuid4().hex}"
-    picks.fold(made, 12, 50).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    last = fn.keep_first(spark.table(name), ["draft_id"], F.desc("picks"))
+    made = derived(table_stream(spark, sf_dir, "customer"), {"draft_id": "concat('d', c_custkey % 20)", "pick_no": "CAST(c_custkey DIV 20 + 1 AS int)", "player_id": "c_name"})
+    last = fn.keep_first(taken_once(drafts.fold_states(made, 12, 50, "append"), drafts.STATE), ["draft_id"], F.desc("picks"))
     third = F.array_join(F.coalesce(F.from_json("rosters", "map<string, array<string>>")["3"], F.array().cast("array<string>")), ",")
     return last.select("draft_id", "picks", "current_pick", "on_the_clock", "is_complete", third.alias("third"))
 
 
+def table_stream(spark, sf_dir, name):
+    """A table's files as a stream."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def taken_once(stream, schema):
+    """All a stream gives until its end, committed to an event log in the shared folder and read back."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    drafts.write_events(stream, f"{path}/log", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return drafts.read_events(spark, f"{path}/log", schema)
+
+
+@query("""
+    WITH p AS (SELECT 'd' || event_id // 180 AS draft_id, CAST(event_id * 7 % 180 + 1 AS INTEGER) AS pick_no, 'Y' || (event_id * 31 % 400) AS player_id FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY pick_no) AS place FROM p),
+    k AS (SELECT *, (pick_no - 1) // 12 AS turn, (pick_no - 1) % 12 AS place_in, list(player_id) OVER (PARTITION BY draft_id ORDER BY pick_no) AS taken FROM r WHERE place = pick_no),
+    e AS (SELECT *, unnest(CASE WHEN pick_no = 180 THEN ['pick', 'complete'] ELSE ['pick'] END) AS event FROM k)
+    SELECT draft_id, event, pick_no, CAST(turn + 1 AS INTEGER) AS round, CAST(CASE WHEN turn % 2 = 0 THEN place_in + 1 ELSE 12 - place_in END AS INTEGER) AS slot, player_id, pick_no + 1 AS current_pick,
+           CAST(CASE WHEN pick_no = 180 THEN 0 WHEN pick_no // 12 % 2 = 0 THEN pick_no % 12 + 1 ELSE 12 - pick_no % 12 END AS INTEGER) AS on_the_clock, pick_no = 180 AS is_complete,
+           array_to_string(list_filter((SELECT list('Y' || x ORDER BY x) FROM range(183) t(x)), lambda y: NOT list_contains(taken, y))[1:3], ',') AS top
+    FROM e""")
+def draft_events(spark, sf_dir):
+    """Events as the picks of drafts of 180, out of order: folded in order, an event each, a complete one last, with the best three left. The last draft has gaps, so its picks beyond the first gap wait in the state."""
+    made = derived(table_stream(spark, sf_dir, "events"), {"draft_id": "concat('d', event_id DIV 180)", "pick_no": "CAST(event_id * 7 % 180 + 1 AS int)", "player_id": "concat('Y', event_id * 31 % 400)"})
+    events = taken_once(drafts.fold_events(made, 12, 15), drafts.EVENT)
+    ranked = drafts.with_candidates(events, [f"Y{i}" for i in range(183)], 3)
+    return ranked.withColumn("top", F.array_join("top", ",")).drop("batch")
+
+
 @query("""
     WITH r AS (SELECT c_custkey, c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer), later(m) AS (VALUES (23), (24), (47), (48))
     SELECT c.c_custkey::VARCHAR AS player_id, round(any_value(c.v) + sum(o.v), 2) AS mean_score, 0.0 AS std_score, 20 AS n_simulations

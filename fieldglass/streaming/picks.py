@@ -7,14 +7,14 @@ import threading
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldglass.cluster import ship_package
-from fieldglass.plans.league import POSITIONS, snake_slot
+from fieldglass.plans.league import POSITIONS
+from fieldglass.streaming.drafts import fold_states
 
 PICK = "draft_id string, pick_no int, round int, draft_slot int, picked_by string, player_id string, position string, team string"
 
@@ -26,10 +26,15 @@ def parse_pick(raw: dict, draft_id: str | None = None) -> tuple:
 
 
 class PickReader(SimpleDataSourceStreamReader):
-    """Each poll gets the whole list; picks after the offset are new. The offset is the number of picks seen."""
+    """Each poll gets the whole list; picks after the offset are new. The offset is the number of picks seen.
+
+    With ``log``, a folder that outlives the driver, what a poll brought is written there before it is given out, and
+    a range of offsets is read from there: the list may have changed since.
+    """
 
     def __init__(self, options):
         self.location, self.draft_id, self.seen = options["location"], options.get("draft_id"), int(options.get("seen", 0))
+        self.log = options.get("log") or None
 
     def picks(self) -> list[dict]:
         if "://" in self.location:
@@ -38,15 +43,49 @@ class PickReader(SimpleDataSourceStreamReader):
         with open(self.location, encoding="utf-8") as f:
             return json.load(f)
 
+    def folder(self) -> tuple[fs.FileSystem, str]:
+        files, base = fs.FileSystem.from_uri(self.log if ":" in self.log else f"file://{self.log}")
+        files.create_dir(base, recursive=True)
+        return files, base
+
+    def logged(self) -> dict[int, int]:
+        """End of what is logged, by its start."""
+        files, base = self.folder()
+        found = [i.base_name[:-5].split("-") for i in files.get_file_info(fs.FileSelector(base)) if i.base_name.endswith(".json") and not i.base_name.startswith(".")]
+        return {int(a): int(b) for a, b in found}
+
+    def entry(self, start: int, end: int) -> list[dict]:
+        files, base = self.folder()
+        with files.open_input_stream(f"{base}/{start:09d}-{end:09d}.json") as f:
+            return json.loads(f.read())
+
     def initialOffset(self) -> dict:
         return {"seen": self.seen}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = self.picks()[start["seen"] :]
-        return iter([parse_pick(p, self.draft_id) for p in new]), {"seen": start["seen"] + len(new)}
+        at = start["seen"]
+        if self.log and (end := self.logged().get(at)):  # given out before, and perhaps not committed
+            new = self.entry(at, end)
+        else:
+            new = self.picks()[at:]
+            if self.log and new:
+                files, base = self.folder()
+                with files.open_output_stream(f"{base}/.{at:09d}") as out:
+                    out.write(json.dumps(new).encode())
+                files.move(f"{base}/.{at:09d}", f"{base}/{at:09d}-{at + len(new):09d}.json")
+        return iter([parse_pick(p, self.draft_id) for p in new]), {"seen": at + len(new)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([parse_pick(p, self.draft_id) for p in self.picks()[start["seen"] : end["seen"]]])
+        at, most = start["seen"], end["seen"]
+        if not self.log:
+            return iter([parse_pick(p, self.draft_id) for p in self.picks()[at:most]])
+        ends, found = self.logged(), []
+        while at < most:
+            if at not in ends:
+                raise RuntimeError(f"pick {at + 1} is not in the log at {self.log}")
+            found += self.entry(at, ends[at])[: most - at]
+            at = ends[at]
+        return iter([parse_pick(p, self.draft_id) for p in found])
 
 
 class PickSource(DataSource):
@@ -63,14 +102,14 @@ class PickSource(DataSource):
         return PickReader(self.options)
 
 
-def pick_stream(spark: SparkSession, location: str, draft_id: str = "", seen: int = 0) -> DataFrame:
+def pick_stream(spark: SparkSession, location: str, draft_id: str = "", seen: int = 0, log: str = "") -> DataFrame:
     ship_package(spark).dataSource.register(PickSource)
-    return spark.readStream.format("draft_picks").option("location", location).option("draft_id", draft_id).option("seen", seen).load()
+    return spark.readStream.format("draft_picks").option("location", location).option("draft_id", draft_id).option("seen", seen).option("log", log).load()
 
 
 def landed_picks(spark: SparkSession, folder: str) -> DataFrame:
     """The same picks from JSON files that land in a folder."""
-    raw = spark.readStream.schema("draft_id string, pick_no int, round int, draft_slot int, picked_by string, player_id string, metadata struct<position: string, team: string>").json(folder)
+    raw = ship_package(spark).readStream.schema("draft_id string, pick_no int, round int, draft_slot int, picked_by string, player_id string, metadata struct<position: string, team: string>").json(folder)
     return raw.select(*[c for c in raw.columns if c != "metadata"], "metadata.position", "metadata.team")
 
 
@@ -86,27 +125,9 @@ def resolve_picks(picks: DataFrame, pool: DataFrame) -> DataFrame:
     return picks.withColumn("__k", key).join(known, F.col("__k") == F.col("__key"), "left").withColumn("player", F.coalesce("__p", nobody)).drop("__k", "__key", "__p")
 
 
-STATE = "draft_id string, picks int, current_pick int, on_the_clock int, is_complete boolean, rosters string"
-
-
 def fold(picks: DataFrame, teams: int, rounds: int) -> DataFrame:
-    """The state of each draft after every batch: picks made, whose turn it is, and each slot's players. State is bounded by teams times rounds."""
-    total = teams * rounds
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        made, rosters = state.get if state.exists else (0, "{}")
-        held = json.loads(rosters)
-        rows = pd.concat(list(batches)).sort_values("pick_no")
-        for r in rows.itertuples():
-            if r.pick_no > made:  # a pick that is seen again changes nothing
-                held.setdefault(str(snake_slot(int(r.pick_no), teams)), []).append(r.player_id)
-                made = int(r.pick_no)
-        line = json.dumps(held, sort_keys=True)
-        state.update((made, line))
-        nxt = made + 1
-        yield pd.DataFrame({"draft_id": [key[0]], "picks": [made], "current_pick": [nxt], "on_the_clock": [snake_slot(nxt, teams) if nxt <= total else 0], "is_complete": [nxt > total], "rosters": [line]})
-
-    return picks.groupBy("draft_id").applyInPandasWithState(step, STATE, "picks int, rosters string", "update", GroupStateTimeout.NoTimeout)
+    """The state of each draft after every batch: picks made without a gap, whose turn it is, and each slot's players."""
+    return fold_states(picks, teams, rounds)
 
 
 class Follower:
