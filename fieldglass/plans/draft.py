@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions import gap_to_next, gradient, lookup, minmax_by, minmax_within, place, running_tier, terciles, top_k
-from fieldglass.operators import depth, replacement_levels
+from fieldglass.functions import lookup, minmax_by, terciles, top_k
+from fieldglass.operators import depth, ordered, replacement_levels
 from fieldglass.plans.league import League, RosterConfig
 
 ID, POINTS = "player_id", "projected_points"
@@ -59,20 +59,19 @@ def value_over_next(pool: DataFrame, taken: int, roster: RosterConfig | None = N
     return out.withColumn("vona", F.col(value) - F.coalesce(baseline, F.lit(0.0))).drop("__group", "__g", "__best")
 
 
+def by_points(value: str) -> list[Column]:
+    return [F.col(value).desc_nulls_last(), F.col(ID).asc_nulls_last()]
+
+
 def tier_scarcity(pool: DataFrame, threshold: float = 10.0, position: str = "position", value: str = POINTS) -> DataFrame:
     """rank, drop to the next, score (drop over the largest), tier."""
-    by = [position]
-    out = pool.withColumns({"position_rank": place(by, value, ID), "drop": gap_to_next(by, value, ID)})
-    out = running_tier(out, by, value, "tier", threshold, ID)
-    largest = out.groupBy(position).agg(F.max("drop").alias("__most"))
-    return out.join(F.broadcast(largest), position).withColumn("scarcity", F.col("drop") / F.when(F.col("__most") > 0, F.col("__most")).otherwise(1.0)).drop("__most")  # one row for each position
+    out = ordered.tiers(pool, [position], value, by_points(value), threshold)
+    return out.withColumn("scarcity", F.col("drop") / F.when(F.col("largest") > 0, F.col("largest")).otherwise(1.0)).drop("largest")
 
 
 def gradient_scarcity(pool: DataFrame, position: str = "position", value: str = POINTS) -> DataFrame:
     """rank and scarcity: slope plus absolute curvature of the sorted values, scaled within the position."""
-    by = [position]
-    out = pool.withColumns({"position_rank": place(by, value, ID), "__raw": gradient(by, value, ID)})
-    return out.withColumn("scarcity", minmax_within("__raw", by)).drop("__raw")  # in the partitions that the gradient's order needs anyway
+    return ordered.steepness(pool, [position], value, by_points(value), "scarcity")
 
 
 def need_with_depth(roster: RosterConfig, counts: Mapping[str, int]) -> dict[str, float]:
@@ -110,15 +109,13 @@ def best_candidates(scored: DataFrame, n: int = 20) -> DataFrame:
 
 def lineup(players: DataFrame, roster: RosterConfig, by: Sequence[str] = (), position: str = "position", value: str = POINTS) -> DataFrame:
     """``players`` with their place: a position's best in its own places, then the best of the rest in flex, else bench."""
-    by = list(by)
+    by, order = list(by), by_points(value)
     places = lookup(position, {p: n for p, n in roster.slots.items()}, F.lit(0)).cast("int")
-    own = place([*by, position], value, ID)
-    seated = players.withColumn("__own", own <= places)
+    seated = ordered.numbered(players, [*by, position], order, "__place").withColumn("__own", F.col("__place") <= places)
     open_: Column = ~F.col("__own") & F.col(position).isin(list(roster.flex_eligible))
-    rest = seated.withColumn("__flex", open_)
-    rank = F.when(F.col("__flex"), place([*(by or [F.lit(0)]), "__flex"], value, ID))  # flex candidates of one roster
-    seat = F.when(F.col("__own"), F.col(position)).when(F.col("__flex") & (rank <= roster.flex), F.lit("FLEX")).otherwise("BENCH")
-    return rest.withColumn("seat", seat).drop("__own", "__flex")
+    ranked = ordered.numbered(seated.withColumn("__flex", F.coalesce(open_, F.lit(False))), [*by, "__flex"], order, "__rank")
+    seat = F.when(F.col("__own"), F.col(position)).when(F.col("__flex") & (F.col("__rank") <= roster.flex), F.lit("FLEX")).otherwise("BENCH")
+    return ranked.withColumn("seat", seat).drop("__own", "__flex", "__place", "__rank")
 
 
 def lineup_points(players: DataFrame, roster: RosterConfig, by: Sequence[str], position: str = "position", value: str = POINTS) -> DataFrame:

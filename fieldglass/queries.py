@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldglass import functions as fn
 from fieldglass import operators as op
+from fieldglass.operators import ordered
 from fieldglass.plans import athletic, draft, inseason, league
 from fieldglass.sources import catalog, documents
 
@@ -89,7 +90,7 @@ def customer_pool(spark, sf_dir):
            round(CASE WHEN v IS NULL THEN NULL ELSE (rank() OVER (PARTITION BY p_brand ORDER BY v DESC NULLS LAST) + (count(v) OVER (PARTITION BY p_brand, v) - 1) / 2.0) / count(v) OVER (PARTITION BY p_brand) * 10 END, 6) AS pct_down FROM v""")
 def pct_rank_by_group(spark, sf_dir):
     v = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", F.nullif(F.col("p_retailprice"), F.lit(950.0)).alias("v"))
-    v = v.withColumns({"pct": fn.percentile_rank("v", ["p_brand"]), "pct_down": fn.percentile_rank("v", ["p_brand"], False)})
+    v = ordered.percentiles(v, "v", ["p_brand"], "pct", "pct_down")
     return v.withColumns(r6("pct", "pct_down")).drop("v")
 
 
@@ -122,7 +123,7 @@ def athletic_composite(spark, sf_dir):
 def expanding_percentile(spark, sf_dir):
     t = Tables(spark, sf_dir)
     y = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return fn.percentile_expanding(y, "c_acctbal", ["c_mktsegment"], "n_regionkey", "pct").select("c_custkey", F.round("pct", 6).alias("pct"))
+    return ordered.expanding_percentiles(y, "c_acctbal", ["c_mktsegment"], "n_regionkey", "pct").select("c_custkey", F.round("pct", 6).alias("pct"))
 
 
 @query("""
@@ -473,7 +474,7 @@ def position_counts(spark, sf_dir):
     c AS (SELECT *, max(CASE WHEN k = n // 3 THEN c_acctbal END) OVER (PARTITION BY c_mktsegment) AS a, max(CASE WHEN k = n * 2 // 3 THEN c_acctbal END) OVER (PARTITION BY c_mktsegment) AS b FROM v)
     SELECT c_custkey, CASE WHEN c_acctbal < a THEN 'low' WHEN c_acctbal < b THEN 'medium' ELSE 'high' END AS risk FROM c""")
 def risk_terciles(spark, sf_dir):
-    return fn.terciles(Tables(spark, sf_dir).customer, "c_acctbal", ["c_mktsegment"]).select("c_custkey", "risk")
+    return ordered.thirds(Tables(spark, sf_dir).customer, "c_acctbal", ["c_mktsegment"]).select("c_custkey", "risk")
 
 
 @query("""
