@@ -90,10 +90,24 @@ def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def best(edges: DataFrame, degree: int) -> DataFrame:
-    """Each node's nearest ``degree`` of its edges; an edge that was there keeps its mark."""
-    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    """Each node's nearest ``degree`` of its edges (a, b, s, fresh, met), and the worst of a full list. One shuffle, by node.
+
+    Rows without a similarity only tell that the pair has met; an edge that was there and has met, or was old, is old.
+    """
+    one = edges.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"), F.max("met").alias("met")).filter("s IS NOT NULL")
     order = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    return one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= degree).drop("place")
+    kept = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= degree)
+    worst = F.max(F.when(F.col("place") == degree, F.col("s"))).over(Window.partitionBy("a"))
+    return kept.select("a", "b", "s", (F.col("fresh") & ~F.col("met")).alias("fresh"), F.coalesce(worst, F.lit(-2.0)).cast("float").alias("worst"))
+
+
+def candidates(edges: DataFrame, turn: int) -> DataFrame:
+    """(u, v, fresh): neighbours either way of each node at which a new one is; at most ``SAMPLE`` new and ``SAMPLE`` old ones, drawn by hash."""
+    both = edges.select("a", "b", "fresh").union(edges.select("b", "a", "fresh")).toDF("u", "v", "fresh")
+    one = both.repartition("u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    drawn = Window.partitionBy("u", "fresh").orderBy(F.xxhash64(F.lit(turn), "u", "v"))
+    few = one.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= SAMPLE)
+    return few.withColumn("moved", F.max("fresh").over(Window.partitionBy("u"))).filter("moved").select("u", "v", "fresh")
 
 
 def first_graph(nodes: DataFrame, count: int, width: int, degree: int) -> DataFrame:
@@ -131,19 +145,14 @@ def first_graph(nodes: DataFrame, count: int, width: int, degree: int) -> DataFr
 
     keys = nodes.select("node", "half").mapInArrow(dealt, "t int, cell long, at float, node long, half binary")
     parts = max(TABLES, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES * count // (8 * BLOCK)))
-    return keys.repartitionByRange(parts, "t", "cell", "at").sortWithinPartitions("t", "cell", "at").mapInArrow(met, EDGE).withColumn("fresh", F.lit(True))
+    return keys.repartitionByRange(parts, "t", "cell", "at").sortWithinPartitions("t", "cell", "at").mapInArrow(met, EDGE).withColumns({"fresh": F.lit(True), "met": F.lit(False)})
 
 
 def descend(nodes: DataFrame, edges: DataFrame, width: int, degree: int, turn: int) -> DataFrame:
     """One round: candidates that met at a common neighbour, merged into each node's list."""
-    both = edges.select("a", "b", "fresh").union(edges.select(F.col("b"), F.col("a"), F.col("fresh"))).toDF("u", "v", "fresh")
-    one = both.groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-    drawn = Window.partitionBy("u", "fresh").orderBy(F.xxhash64(F.lit(turn), "u", "v"))
-    lists = materialise(one.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= SAMPLE).drop("place"), "candidates")
-    worst = edges.groupBy("a").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    known = nodes.select(F.col("node").alias("v"), "half").join(worst.withColumnRenamed("a", "v"), "v", "left")
-    moved = lists.filter("fresh").select("u").distinct()
-    meet = lists.join(moved, "u", "left_semi").join(known, "v").select("u", "v", "fresh", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "half")
+    lists = materialise(candidates(edges, turn), "candidates")
+    worst = edges.groupBy(F.col("a").alias("v")).agg(F.first("worst").alias("worst"))
+    meet = lists.join(nodes.select(F.col("node").alias("v"), "half"), "v").join(worst, "v", "left").select("u", "v", "fresh", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst"), "half")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def local(part: pa.Table) -> pa.RecordBatch | None:
@@ -184,47 +193,47 @@ def descend(nodes: DataFrame, edges: DataFrame, width: int, degree: int, turn: i
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    found = meet.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(joined, EDGE).withColumn("fresh", F.lit(True))
-    met = lists.filter("fresh").select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct().withColumn("met", F.lit(True))
-    aged = edges.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(met, ["x", "y"], "left")
-    aged = aged.select("a", "b", "s", (F.col("fresh") & F.col("met").isNull()).alias("fresh"))
-    kept = materialise(best(aged.unionByName(found), degree), "neighbours")
+    found = meet.repartition(parts, "u").sortWithinPartitions("u").mapInArrow(joined, EDGE)
+    met = lists.filter("fresh").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))).alias("e")).select("e.a", "e.b")
+    every = edges.select("a", "b", "s", "fresh", F.lit(False).alias("met"))
+    every = every.union(found.select("a", "b", "s", F.lit(True), F.lit(False))).union(met.select("a", "b", F.lit(None).cast("float"), F.lit(None).cast("boolean"), F.lit(True)))
+    kept = materialise(best(every, degree), "neighbours")
     discard(lists)
     discard(edges)
     return kept
 
 
 class Graph:
-    """Nodes and their neighbours, both written tables."""
+    """Nodes with their vectors, members and neighbours (``to``): a written table."""
 
-    def __init__(self, nodes: DataFrame, count: int, links: DataFrame | None):
-        self.nodes, self.count, self.links = nodes, count, links
+    def __init__(self, nodes: DataFrame, count: int):
+        self.nodes, self.count = nodes, count
 
     def drop(self) -> None:
-        for df in (self.nodes, self.links):
-            if df is not None:
-                discard(df)
+        discard(self.nodes)
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE) -> Graph:
     nodes = materialise(nodes_of(vectors, id_col, vector_col), "nodes")
     count, width = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
     if count < 2:
-        return Graph(nodes, count, None)
+        return Graph(nodes.withColumn("to", F.array().cast("array<long>")), count)
     edges = materialise(best(first_graph(nodes, count, width, degree), degree), "neighbours")
     for turn in range(ROUNDS):
         edges = descend(nodes, edges, width, degree, turn)
         total, new = edges.agg(F.count("*"), F.count_if("fresh")).first()
         if new <= LEAST_NEW * total:
             break
-    links = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("to")), "graph")
+    links = edges.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("to"))
+    graph = materialise(nodes.drop("half").join(links, "node", "left"), "graph")
     discard(edges)
-    return Graph(nodes, count, links)
+    discard(nodes)
+    return Graph(graph, count)
 
 
 def ranked_beam(beam: DataFrame) -> DataFrame:
-    """The best of each query's beam, and which of them to expand next."""
-    one = beam.groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
+    """The best of each query's beam, and which of them to expand next. One shuffle, by query."""
+    one = beam.repartition("q").groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"), F.first("to", ignorenulls=True).alias("to"))
     order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
     kept = one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BEAM).drop("place")
     turn = Window.partitionBy("q", "done").orderBy(F.desc("s"), "node")
@@ -244,8 +253,8 @@ def walk(graph: Graph, block: list, entries: tuple[np.ndarray, np.ndarray]) -> D
                 top = np.argsort(-s, kind="stable")[:BEAM]
                 ids, s = entry_ids[top], s[top]
                 if own is not None and own not in ids:
-                    ids, s = np.append(ids, own), np.append(s, 1.0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int32)), pa.array(ids), pa.array(s)], names=["q", "node", "s"])
+                    ids = np.append(ids, own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int32)), pa.array(ids)], names=["q", "node"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,24 +263,26 @@ def walk(graph: Graph, block: list, entries: tuple[np.ndarray, np.ndarray]) -> D
             lists = batch.column(1)
             each = np.diff(lists.offsets.to_numpy())
             at, q = np.repeat(np.arange(batch.num_rows), each), np.asarray(lists.flatten())
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(2))
+            ids, x, to = batch.column(0).to_numpy(), matrix(batch.column(2)), batch.column(3)
             for start in range(0, len(q), 1 << 14):
                 i, j = at[start : start + (1 << 14)], q[start : start + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(ids[i]), pa.array(cosines(vectors.value[j], x[i]))], names=["q", "node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(ids[i]), pa.array(cosines(vectors.value[j], x[i])), to.take(pa.array(i))], names=["q", "node", "s", "to"])
 
     places = spark.createDataFrame([(i, r[0]) for i, r in enumerate(block)], "q int, own long").repartition(min(len(block), spark.sparkContext.defaultParallelism))
-    open_ = lambda df: df.withColumn("done", F.lit(False))
-    beam = materialise(ranked_beam(open_(places.mapInArrow(begin, "q int, node long, s double"))), "beam")
-    while graph.links is not None and not beam.filter("next").isEmpty():
-        reached = beam.filter("next").select("q", "node").join(graph.links, "node").select("q", F.explode("to").alias("node"))
-        asked = reached.groupBy("node").agg(F.collect_set("q").alias("qs"))
-        scored = asked.join(nodes.select("node", "vector"), "node").select("node", "qs", "vector").mapInArrow(score, "q int, node long, s double")
-        held = beam.select("q", "node", "s", (F.col("done") | F.col("next")).alias("done"))
-        after = materialise(ranked_beam(held.union(open_(scored))), "beam")
+
+    def reached(pairs: DataFrame) -> DataFrame:
+        """Scores of (q, node) pairs: queries gather at the node they reach."""
+        asked = pairs.groupBy("node").agg(F.collect_set("q").alias("qs"))
+        return asked.join(nodes, "node").select("node", "qs", "vector", "to").mapInArrow(score, "q int, node long, s double, to array<long>").select("q", "node", "s", F.lit(False).alias("done"), "to")
+
+    beam = materialise(ranked_beam(reached(places.mapInArrow(begin, "q int, node long"))), "beam")
+    while not beam.filter("next").isEmpty():
+        found = reached(beam.filter("next").select("q", F.explode("to").alias("node")))
+        held = beam.select("q", "node", "s", (F.col("done") | F.col("next")).alias("done"), F.when(~F.col("done") & ~F.col("next"), F.col("to")).alias("to"))
+        after = materialise(ranked_beam(held.union(found)), "beam")
         discard(beam)
         beam = after
-    exact = nodes.join(beam.groupBy("node").agg(F.collect_set("q").alias("qs")), "node").select("node", "qs", "vector").mapInArrow(score, "q int, node long, s double")
-    out = materialise(exact.join(nodes.select("node", "members"), "node"), "beam")  # entries were scored on unit vectors
+    out = materialise(beam.select("q", "node", "s").join(nodes.select("node", "members"), "node"), "reached")
     discard(beam)
     return out
 
