@@ -21,7 +21,7 @@ def landed(spark: SparkSession, data_dir: str, name: str, texts: bool = True) ->
 
 
 def depth_charts(spark: SparkSession, data_dir: str, out: str) -> dict[str, str]:
-    raw = tenure.read_depth_charts(spark, f"{data_dir}/nflverse/depth_charts.csv")
+    raw = tenure.read_depth_charts(spark, f"{data_dir}/nflverse/depth_charts.csv", tenure.WIDTH)
     legacy, modern = tenure.split_depth_charts(raw)
     paths = {"depth_charts_legacy": legacy, "depth_charts_modern": modern}
     for name, df in paths.items():

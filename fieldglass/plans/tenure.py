@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.functions import one_line, to_int
+from fieldglass.sources.csv_splits import read_csv_splits, read_header
 
 #: Column order of the tenure table, and the two layouts of depth charts.
 TENURE = ["Person", "pfr_team_code", "nflverse_code", "team_name", "From", "To", "tenure_years", "is_current", "Titles", "Teams", "Notes"]
 LEGACY = ["season", "club_code", "week", "game_type", "depth_team", "last_name", "first_name", "football_name", "formation", "gsis_id", "jersey_number", "position", "elias_id", "depth_position", "full_name"]
+#: Fields of a raw row: both layouts side by side.
+WIDTH = 26
 MODERN = ["dt", "team", "player_name", "gsis_id", "espn_id", "pos_grp_id", "pos_grp", "pos_id", "pos_name", "pos_abb", "pos_slot", "pos_rank"]
 
 
@@ -34,9 +37,16 @@ def in_charge(seasons: DataFrame, tenure: DataFrame, team: str, season: str) ->
     return seasons.join(t, (F.col(team) == F.col("__team")) & F.col(season).between(F.col("__from"), F.col("__to")), "left").drop("__team", "__from", "__to")
 
 
-def read_depth_charts(spark: SparkSession, path: str) -> DataFrame:
-    """The raw chart as texts; fields may hold line breaks. Rows that are too short have no last field and are dropped."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+def depth_chart_rows(spark: SparkSession, path: str, width: int | None = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The raw chart as texts, and (file, records, short). Fields may hold line breaks; the file is read in splits. Records of fewer than ``width`` fields are left out and counted."""
+    return read_csv_splits(spark, path, width)
+
+
+def read_depth_charts(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """The raw chart as texts. Records that are shorter than ``width``, or than the header if none is given, are dropped."""
+    if width is None:
+        width = len(read_header(spark, path))
+    return depth_chart_rows(spark, path, width)[0]
 
 
 def split_depth_charts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
