@@ -36,6 +36,8 @@ CELL = 8192
 #: Rows from which a fingerprint is not joined by a shuffle.
 HOT = 10_000
 WIDTH = 64
+#: Edges of a task that go out together.
+EDGES = 1 << 16
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -188,29 +190,49 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("bits", "pair", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
         .repartition("pair", "part", "i", "j")
+        .sortWithinPartitions("pair", "part", "i", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [t for t in batches if t.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        bits = t.column("bits").to_numpy().view(np.uint64)
-        own, *cols = (t.column(c).to_numpy() for c in ("own", "part", "pair", "i", "j"))
-        order = np.lexsort(cols)
-        cut = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in cols], axis=0)) + 1
-        first, second, a, b = cols[2], cols[3], [], []
-        for at in np.split(order, cut):
-            if first[at[0]] == second[at[0]]:
-                found = forest(bits[at], radius) if len(at) > 1 else None
+        """A cell, or a pair of chunks of one, at a time: the rows come in their order."""
+        cell, held, out, size = None, [], [], 0
+
+        def search() -> None:
+            nonlocal size
+            bits, own = (np.concatenate(v) for v in zip(*held))
+            if cell[2] == cell[3]:
+                found = forest(bits, radius) if len(bits) > 1 else None
             else:  # two chunks of one cell: each is searched in itself elsewhere
-                left = own[at] == first[at[0]]
-                found = forest(bits[at][left], radius, bits[at][~left]) if left.any() and not left.all() else None
-            if found:
-                a.append(found[0])
-                b.append(found[1])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], names=["a", "b"])
+                left = own == cell[2]
+                found = forest(bits[left], radius, bits[~left]) if left.any() and not left.all() else None
+            if found and len(found[0]):
+                out.append(found)
+                size += len(found[0])
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            edges = [pa.array(np.concatenate(v).view(np.int64)) for v in zip(*out)]
+            out.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(edges, names=["a", "b"])
+
+        for batch in (t for t in batches if t.num_rows):
+            bits, own, *cols = (batch.column(c).to_numpy() for c in ("bits", "own", "pair", "part", "i", "j"))
+            bits = bits.view(np.uint64)
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols], axis=0)) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(bits)]):
+                here = tuple(int(c[lo]) for c in cols)
+                if held and here != cell:
+                    search()
+                    held = []
+                cell = here
+                held.append((bits[lo:hi], own[lo:hi]))
+            if size >= EDGES:
+                yield flush()
+        if held:
+            search()
+        if out:
+            yield flush()
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
