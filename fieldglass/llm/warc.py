@@ -9,7 +9,8 @@ The reader parts the files at every magic line, in splits. Each task emits, for
 and that of the record its header declares (so its successor), and what the record says if it ends where
 the next candidate begins. Per file, pointer jumping over successors keeps what the chain from the file's
 start reaches; a magic line inside a payload starts no record. Records that hold such lines are put together
-again from their parts, found by their numbers: no more of a file than those records moves.
+again from their parts, found in a second scan by 128 bits of hash, however that scan is split: no more of a file than
+those records moves. A part that is not found ends the job with an error.
 
 A null html is an empty payload; a null url is written as ``about:blank``, and controls, spaces and line
 separators of any kind in urls are percent-encoded. Only CRLF ends a header line, and only a record's own header is read. Rows that repeat the least id of their payload are responses too, as are rows with a
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, require
+from .common import bounded, fresh_path, materialise, require
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n"
 GAP = END + END
@@ -110,10 +111,10 @@ def number(text: Column) -> Column:
 def parts_of(spark: SparkSession, path: str) -> DataFrame:
     """What stands between magic lines: file, split, order in the split, text."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value", F.xxhash64("value").alias("h1"), F.xxhash64("value", F.lit(1)).alias("h2"))
 
 
-SAID = "file string, split long, seq long, size long, declared long, record_type string, id long, refers_to long, payload_bytes long, payload_digest string, said_digest string, target_uri string"
+SAID = "file string, split long, seq long, h1 long, h2 long, size long, declared long, record_type string, id long, refers_to long, payload_bytes long, payload_digest string, said_digest string, target_uri string"
 
 
 def parsed(value: DataFrame) -> DataFrame:
@@ -161,8 +162,10 @@ def chained(rows: pd.DataFrame) -> pd.DataFrame:
     keep = reached[:n] & ~broken & (np.arange(n) > 0)
     out = rows[keep].copy()
     out["offset"] = start[keep] - len(MAGIC)
-    seq, ends = rows["seq"].to_numpy(), jump[:n][keep]
-    out["parts"] = [seq[i:j] if j > i + 1 else None for i, j in zip(np.flatnonzero(keep), ends)]
+    ends = jump[:n][keep]
+    for name in ("h1", "h2"):
+        h = rows[name].to_numpy()
+        out[f"parts_{name}"] = [h[i:j] if j > i + 1 else None for i, j in zip(np.flatnonzero(keep), ends)]
     return out
 
 
@@ -170,18 +173,21 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """Every record under ``path``: file, offset, record_type, id, refers_to, payload_bytes, payload_digest, said_digest, target_uri."""
     names = [c.split()[0] for c in SAID.split(", ")]
     candidates = parsed(parts_of(spark, path)).select(*names)
-    kept = materialise(candidates.groupBy("file").applyInPandas(chained, f"{SAID}, offset long, parts array<long>"), "records")
-    out = ["file", "offset", *names[5:]]
-    whole = kept.filter("parts IS NULL").select(*out)
-    cut = kept.filter("parts IS NOT NULL")
+    kept = materialise(candidates.groupBy("file").applyInPandas(chained, f"{SAID}, offset long, parts_h1 array<long>, parts_h2 array<long>"), "records")
+    out = ["file", "offset", *names[names.index("declared") + 1 :]]
+    whole = kept.filter("parts_h1 IS NULL").select(*out)
+    cut = kept.filter("parts_h1 IS NOT NULL")
     if cut.isEmpty():
         return whole
-    # records with magic lines inside: only their own parts move, found by their numbers in the same scan
-    wanted = cut.select(F.col("file").alias("own"), "offset", F.explode("parts").alias("seq"))
-    inside = parts_of(spark, path).join(wanted, "seq").filter("file = own")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), MAGIC)  # one record
-    joined = inside.groupBy("file", "offset").agg(text.alias("value"))
-    again = parsed(joined).withColumn("record_type", F.when(F.col("declared") == F.col("size"), F.col("record_type")).otherwise(F.raise_error(F.lit("WARC: a record's parts do not fit together"))))
+    # records with magic lines inside: only their own parts move, found by what they hold, so that splits may be cut otherwise in this scan
+    each = F.posexplode(F.arrays_zip("parts_h1", "parts_h2")).alias("k", "h")
+    wanted = cut.select("file", "offset", each).select("file", "offset", "k", F.col("h.parts_h1").alias("h1"), F.col("h.parts_h2").alias("h2"))
+    asked = bounded(wanted.select("file", "h1", "h2").distinct(), "asked-parts")
+    inside = parts_of(spark, path).join(asked, ["file", "h1", "h2"]).groupBy("file", "h1", "h2").agg(F.first("value").alias("value"))  # equal parts are the same text
+    found = wanted.join(inside, ["file", "h1", "h2"], "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), MAGIC)  # one record
+    joined = found.groupBy("file", "offset").agg(text.alias("value"), (F.count("value") == F.count("*")).alias("complete"))
+    again = parsed(joined).withColumn("record_type", F.when(F.col("complete") & (F.col("declared") == F.col("size")), F.col("record_type")).otherwise(F.raise_error(F.lit("WARC: parts of a record are missing"))))
     return whole.unionByName(again.select(*out))
 
 
