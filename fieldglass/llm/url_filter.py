@@ -35,6 +35,7 @@ RULES = ((ALLOW, "org", "/"), (BLOCK, "example.org", "/es/"), (BLOCK, "example.o
 #: The production list of hosts.
 LISTED = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 HEAD = struct.Struct("<8sQQ")
+DOT = ord(".")
 
 
 ENTRIES = 1 << 16  # of a sorted block
@@ -85,6 +86,10 @@ class Digests:
         part = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         self.keys, self.ends, self.lengths = (p.view("<u8") for p in part[:3])
         self.verdicts, self.pool = part[3], data[cuts[-1] :]
+        sizes: set[int] = set()
+        for at in range(0, n, 1 << 20):
+            sizes.update(np.unique(np.diff(self.ends[at : at + (1 << 20) + 1])).tolist())
+        self.sizes = sorted(sizes, reverse=True)  # of the stored strings: no other can be found
 
     def probe(self, strings: list[bytes]) -> np.ndarray:
         """The entry of each string, or -1."""
@@ -103,34 +108,42 @@ class Digests:
         return out
 
 
-def parents(host: str) -> list[str]:
-    """The host and its parent domains, longest first."""
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))] if host else []
+def suffixes(host: bytes, sizes: Iterable[int]) -> Iterator[bytes]:
+    """The host and its parent domains that have one of these sizes. Work and memory follow the sizes, not the host."""
+    for n in sizes:
+        if 0 < n <= len(host) and (n == len(host) or host[-n - 1] == DOT):
+            yield host[-n:]
 
 
 def judge(rules: Digests, listed: Digests, hosts: list[str], paths: list[str]) -> tuple[list[str | None], list[str]]:
     """The deciding rule (or None) and the verdict for each host and path."""
     keys: list[bytes] = []
-    counts = []
+    names: list[bytes] = []
+    counts, on = [], []
+    lengths = rules.lengths.tolist()
     for host, path in zip(hosts, paths):
-        own = [(h, path[:n]) for h in parents(host) for n in rules.lengths.tolist() if n <= len(path)]
-        own.sort(key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))
-        keys += [(h + p).encode("utf-8") for h, p in own]
+        own, host = [], host.encode("utf-8")
+        for n in lengths:
+            if n <= len(path):
+                start = path[:n].encode("utf-8")
+                own += [(len(h), h + start) for h in suffixes(host, [size - len(start) for size in rules.sizes])]
+        own.sort(key=lambda x: (-len(x[1].decode("utf-8")), -x[0]))
+        keys += [k for _, k in own]
         counts.append(len(own))
-    hit = rules.probe(keys)
-    suffixes = [parents(h) for h in hosts]
-    on_list = listed.probe([s.encode("utf-8") for own in suffixes for s in own]) >= 0
+        before = len(names)
+        names += suffixes(host, listed.sizes)
+        on.append(len(names) - before)
+    hit, on_list = rules.probe(keys), listed.probe(names) >= 0
     rule, verdict, a, b = [], [], 0, 0
-    for n, own in zip(counts, suffixes):
+    for n, m in zip(counts, on):
         found = np.flatnonzero(hit[a : a + n] >= 0)
         if len(found):
             rule.append(keys[a + found[0]].decode("utf-8"))
             verdict.append(BLOCK if rules.verdicts[hit[a + found[0]]] else ALLOW)
         else:
             rule.append(None)
-            verdict.append(BLOCK if on_list[b : b + len(own)].any() else ALLOW)
-        a, b = a + n, b + len(own)
+            verdict.append(BLOCK if on_list[b : b + m].any() else ALLOW)
+        a, b = a + n, b + m
     return rule, verdict
 
 
