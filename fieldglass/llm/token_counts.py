@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -23,7 +23,43 @@ from .common import require
 
 #: The white space of the tokenizer library's patterns, and its byte-level split pattern.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+LETTER, NUMBER = r"\p{L}", r"\p{N}"
+
+
+def split_pattern(letter: str = LETTER, number: str = NUMBER, other: str = rf"[^{SPACE}\p{{L}}\p{{N}}]") -> str:
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+
+
+def one_class(library, about: str, candidates: list[str]) -> list[str]:
+    """Those characters that the library keeps together with ``about`` on both sides."""
+    kept = []
+    for at in range(0, len(candidates), 4096):
+        part = candidates[at : at + 4096]
+        starts = {5 * i for i in range(len(part))}  # each stands as "\nXcX\n"
+        pieces = library.pre_tokenizer.pre_tokenize_str("".join(f"\n{about}{c}{about}\n" for c in part))
+        kept += [part[(a - 1) // 5] for _, (a, b) in pieces if b - a == 3 and a - 1 in starts]
+    return kept
+
+
+@functools.lru_cache(maxsize=4)
+def differing(path: str) -> frozenset[str]:
+    """Letters and numbers of the pattern module, whose Unicode tables are newer, that the library of this vocabulary takes for neither."""
+    from tokenizers import Tokenizer
+
+    library, letter, number = Tokenizer.from_file(path), regex.compile(LETTER), regex.compile(NUMBER)
+    every = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    here = {c: "L" if letter.match(c) else "N" for c in every if letter.match(c) or number.match(c)}  # newer tables only add to these
+    there = {c: "L" for c in one_class(library, "a", [c for c in here if here[c] == "L"])} | {c: "N" for c in one_class(library, "1", [c for c in here if here[c] == "N"])}
+    return frozenset(here.keys() - there.keys())
+
+
+def ranges(characters: Iterable[str]) -> str:
+    """The characters as the inside of a pattern's class."""
+    codes = sorted(map(ord, characters))
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends))
+
 
 MEMO_ENTRIES = 300_000
 MEMO_CHARS = 64
@@ -63,7 +99,7 @@ def merge_count(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]
 class Counter:
     """Counts of one byte-level vocabulary file, as its library gives them without added special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, differences: Iterable[str] = ()):
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -71,7 +107,12 @@ class Counter:
         self.byte = [vocab[c] for _, c in sorted(byte_symbols().items())]
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.split = regex.compile(SPLIT)
+        self.split = regex.compile(split_pattern())
+        self.odd = self.adjusted = None
+        if differences:
+            odd = ranges(differences)
+            kind = {"L": rf"[\p{{L}}--[{odd}]]", "N": rf"[\p{{N}}--[{odd}]]", "O": rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{odd}]]"}
+            self.odd, self.adjusted = regex.compile(f"[{odd}]"), regex.compile(split_pattern(kind["L"], kind["N"], kind["O"]), regex.V1)
         self.memo: dict[str, int] = {}
 
     def pretoken(self, s: str) -> int:
@@ -80,7 +121,8 @@ class Counter:
 
     def plain(self, s: str) -> int:
         memo, total = self.memo, 0
-        pieces = self.split.findall(s) if len(s) < 1 << 20 else (m[0] for m in self.split.finditer(s))
+        split = self.adjusted if self.odd and self.odd.search(s) else self.split
+        pieces = split.findall(s) if len(s) < 1 << 20 else (m[0] for m in split.finditer(s))
         for p in pieces:
             n = memo.get(p)
             if n is None:
@@ -102,17 +144,18 @@ class Counter:
 
 
 @functools.lru_cache(maxsize=1)
-def counter_of(path: str) -> Counter:
+def counter_of(path: str, differences: frozenset[str]) -> Counter:
     """One per worker process, so that its memo outlives a task."""
-    return Counter(path)
+    return Counter(path, differences)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is a byte-level BPE json file on every machine."""
     kind = require(docs, id_col).schema[0].dataType
+    differences = differing(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(vocabulary)
+        counter = counter_of(vocabulary, differences)
         for batch in batches:
             texts = batch.column(1)
             sizes, counts = [], []
