@@ -5,7 +5,7 @@ Customers stand in for players, nations for teams (``T0`` to ``T24``), orders fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass import functions as fn
@@ -13,6 +13,7 @@ from fieldglass.plans import athletic, draft, identity, inseason, league, pool,
 from fieldglass.queries import LEAGUE, SEGMENT, Tables, query, r6
 from fieldglass.queries import POOL as DRAFT_POOL
 from fieldglass.queries import pool as draft_pool
+from fieldglass.operators import intervals, names
 from fieldglass.shared import shared_path
 from fieldglass.sources import documents
 from fieldglass.streaming import drafts, picks
@@ -454,3 +455,43 @@ def draft_deterministic(spark, sf_dir):
     snap = simulate.snapshot(league.DraftState(league.League(12, roster), managers, available), {"RB": 10.0}, greedy, greedy)
     out = simulate.simulate_candidates(spark, snap, list(available)[:8], 20, 5)
     return out.select("player_id", F.round("mean_score", 2).alias("mean_score"), F.round("std_score", 6).alias("std_score"), "n_simulations")
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 200 END AS team, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS day FROM orders),
+    e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 200 END AS team, event_id * 13 % 2400 AS low, event_id * 13 % 2400 + event_id % 5 AS high, value FROM events)
+    SELECT o_orderkey, count(event_id) AS n, round(coalesce(sum(value), 0), 4) AS total FROM o LEFT JOIN e ON o.team = e.team AND day BETWEEN low AND high GROUP BY o_orderkey""")
+def interval_join(spark, sf_dir):
+    """Days of orders in ranges of days of events, within groups of which one holds a third of both."""
+    t = Tables(spark, sf_dir)
+    days = derived(t.orders, {"o_orderkey": "o_orderkey", "team": "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 200 END", "day": "CAST(datediff(o_orderdate, DATE '1992-01-01') AS long)"})
+    spans = derived(t.events, {"event_id": "event_id", "team": "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 200 END", "low": "event_id * 13 % 2400", "high": "event_id * 13 % 2400 + event_id % 5", "value": "value"})
+    found = intervals.range_join(days, spans, ["team"], "day", "low", "high")
+    return found.groupBy("o_orderkey").agg(F.count("event_id").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"))
+
+
+@query("""
+    WITH n AS (SELECT trim(unnest(string_split(text, '.'))) AS name, item_id FROM benchmark), k AS (SELECT name, min(item_id) AS place FROM n WHERE name <> '' GROUP BY name)
+    SELECT doc_id, count(place) AS n, min(place) AS first FROM documents LEFT JOIN k ON contains(text, name) GROUP BY doc_id""")
+def names_in_texts(spark, sf_dir):
+    """How many sentences of the benchmark stand in each document, and the first item of theirs."""
+    t = Tables(spark, sf_dir)
+    sentences = t.benchmark.select(F.explode(F.split("text", r"\.")).alias("name"), F.col("item_id").alias("place")).withColumn("name", F.trim("name")).filter("name != ''")
+    found = names.names_in(t.documents, sentences, "doc_id", "text", "name", "place")
+    return t.documents.select("doc_id").join(found, "doc_id", "left").groupBy("doc_id").agg(F.count("place").alias("n"), F.min("place").alias("first"))
+
+
+def ordered_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first ``n`` of a sorted result with their places, by a limit on the sorted rows."""
+    return df.orderBy(*order).limit(n).select("*", F.row_number().over(Window.orderBy(*order)).alias("row_no"))
+
+
+@query(f"""
+    WITH {DRAFT_POOL}
+    SELECT player_id, row_number() OVER (ORDER BY adp, player_id) AS row_no, 'adp' AS by FROM pool QUALIFY row_no <= 200
+    UNION ALL SELECT player_id, row_number() OVER (ORDER BY projected_points DESC, player_id) AS row_no, 'points' FROM pool QUALIFY row_no <= 200""")
+def sorted_pool(spark, sf_dir):
+    """The order of the pool's first 200 by rank ascending and by points descending."""
+    pool_ = draft_pool(Tables(spark, sf_dir)).select("player_id", "adp", "projected_points")
+    by_rank = ordered_rows(pool_, 200, F.asc("adp"), F.asc("player_id")).select("player_id", "row_no", F.lit("adp").alias("by"))
+    return by_rank.unionByName(ordered_rows(pool_, 200, F.desc("projected_points"), F.asc("player_id")).select("player_id", "row_no", F.lit("points").alias("by")))

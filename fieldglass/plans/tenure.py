@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.functions import one_line, to_int
+from fieldglass.operators.intervals import range_join
 from fieldglass.sources.csv_splits import read_csv_splits, read_header
 
 #: Column order of the tenure table, and the two layouts of depth charts.
@@ -32,9 +33,10 @@ def tenures(executives: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def in_charge(seasons: DataFrame, tenure: DataFrame, team: str, season: str) -> DataFrame:
-    """Who was in charge in each season of a team: an equi join by team, then the range of years."""
+    """Who was in charge in each season of a team: terms are cut into dyadic pieces, so a season meets only the terms that hold it."""
     t = tenure.select(F.col("nflverse_code").alias("__team"), "Person", F.col("From").alias("__from"), F.coalesce("To", F.lit(9999)).alias("__to"))
-    return seasons.join(t, (F.col(team) == F.col("__team")) & F.col(season).between(F.col("__from"), F.col("__to")), "left").drop("__team", "__from", "__to")
+    found = range_join(seasons.withColumn("__team", F.col(team)), t, ["__team"], season, "__from", "__to")
+    return found.drop("__team", "__from", "__to")
 
 
 def depth_chart_rows(spark: SparkSession, path: str, width: int | None = WIDTH) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.cluster import ship_package
+from fieldglass.operators.names import contained_in
 from fieldglass.functions import json_scoring_type, roster_settings, team_suffix
 
 #: Schemas of the service's documents.
@@ -116,8 +117,7 @@ def projections(pages: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     skill = rows.filter("position != 'DEF'").select(name.alias("player_name"), team.alias("team"), "position", "fpts")
     if codes is None:
         return skill
-    dst = rows.filter("position = 'DEF'").join(codes.select("team_name", "nflverse_code"), F.contains(F.col("team_name"), F.col("raw")), "left")  # 32 teams
-    dst = dst.groupBy("raw", "position", "fpts").agg(F.min_by("nflverse_code", "team_name").alias("team"))
+    dst = contained_in(rows.filter("position = 'DEF'").select("raw", "position", "fpts").distinct(), "raw", codes, "team_name", "nflverse_code", "team")  # 32 teams
     return skill.unionByName(dst.select(F.col("raw").alias("player_name"), F.coalesce("team", F.lit("FA")).alias("team"), "position", "fpts"))
 
 
