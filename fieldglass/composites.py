@@ -15,7 +15,7 @@ from fieldglass.queries import POOL as DRAFT_POOL
 from fieldglass.queries import pool as draft_pool
 from fieldglass.operators import intervals, names
 from fieldglass.shared import shared_path
-from fieldglass.sources import documents
+from fieldglass.sources import documents, layout
 from fieldglass.streaming import drafts, picks
 
 
@@ -495,3 +495,12 @@ def sorted_pool(spark, sf_dir):
     pool_ = draft_pool(Tables(spark, sf_dir)).select("player_id", "adp", "projected_points")
     by_rank = ordered_rows(pool_, 200, F.asc("adp"), F.asc("player_id")).select("player_id", "row_no", F.lit("adp").alias("by"))
     return by_rank.unionByName(ordered_rows(pool_, 200, F.desc("projected_points"), F.asc("player_id")).select("player_id", "row_no", F.lit("points").alias("by")))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 77 OR o_orderdate = (SELECT min(o_orderdate) FROM orders)")
+def lookup_layout(spark, sf_dir):
+    """Lookups by either of two columns of a table stored in Z-order of both, with a Bloom filter on the key."""
+    orders = Tables(spark, sf_dir).orders
+    stored = layout.store_for_lookup(orders, shared_path(spark, "orders"), ["o_custkey", "o_orderdate"], ["o_custkey"])
+    first = stored.agg(F.min("o_orderdate")).first()[0]
+    return stored.filter((F.col("o_custkey") == 77) | (F.col("o_orderdate") == F.lit(first))).select("o_orderkey", "o_custkey", "o_totalprice")

@@ -15,7 +15,9 @@ from fieldglass import functions as fn
 from fieldglass import operators as op
 from fieldglass.operators import ordered
 from fieldglass.plans import athletic, draft, inseason, league
+from fieldglass.shared import shared_path
 from fieldglass.sources import catalog, documents
+from fieldglass.streaming import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -561,17 +563,10 @@ def top_candidates(spark, sf_dir):
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_fold(spark, sf_dir):
     """The events table as a file stream, taken once to its end."""
-    import uuid
-
-    from fieldglass.streaming.fold import running_totals
-
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    spark.conf.set("spark.sql.streaming.schemaInference", "false")
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    name = f"totals_{uuid.uuid4().hex}"
-    started = running_totals(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name).select("user_id", "n", F.round("total", 4).alias("total"))
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
+    totals = fold.taken(fold.running_totals(stream), shared_path(spark, "checkpoint"))
+    return totals.select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 @query()
