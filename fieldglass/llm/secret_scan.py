@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate in its context.
 
-A candidate is a whole run of secret characters, at least ``LEAST`` long, within the patterns' spans or not. The network sees 64 of its characters and
+A candidate is a whole run of secret characters, at least ``LEAST`` long, within the patterns' spans or not, or the whole
+value, of any visible characters from eight on, of what is named like a secret or stands as the password of an address. The network sees 64 of its characters and
 32 on each side, with filters pooled apart over candidate and context; a longer candidate is seen in windows that
 overlap by half, and the largest logit counts, in training as in scans. It is
 trained on labelled findings: texts written by ``findings()`` from formats of keys, passwords and tokens,
 and of things that look like them (addresses, hosts, numbers, versions, paths, dates, identifiers,
 long words in any case and prose, rules, checksums named as such). Its logit is calibrated on findings kept apart, and the threshold is the highest
-at which recall on them is at least ``RECALL``; recall is of the secrets in whole texts, so one that the search for
+at which recall on them is at least ``RECALL``, and on each kind of :mod:`.secret_findings`, which are written apart
+from these, at least ``KIND_RECALL``; recall is of the secrets in whole texts, so one that the search for
 candidates does not give counts as missed. The patterns' spans stay whatever the network says of them;
 it adds spans, of kind ``model``, where a candidate is not wholly inside them already.
 
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import secret_findings
 from .common import require
 from .convnet import Net, sigmoid
 
@@ -39,9 +42,14 @@ KINDS = ("assign", "access", "hex", "model")
 LEAST, SIDE, BODY = 12, 32, 64
 SECRET = "A-Za-z0-9+/_.=-"
 CANDIDATE = re.compile(rf"[{SECRET}]{{{LEAST},}}")
+#: Values of any visible characters after a name of a secret, and between the colon and the at sign of an address.
+NAMED = re.compile(r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api_?key|access_?key)["']?\x20*[:=]\x20*(?:"([^"\s]{8,})"|'([^'\s]{8,})'|([^\s"',;&]{8,}))""", re.IGNORECASE | re.ASCII)
+LOGIN = re.compile(r"://[^\s:/@]{1,64}:([^\s@/]{8,})@")
+#: From a data address to the end of its base64.
+EMBEDDED = re.compile(r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]*")
 WIDTH = 2 * SIDE + BODY
 KERNEL, STRIDE = 5, 1
-RECALL, FINDINGS, EPOCHS, SEED = 0.95, 12000, 5, 11
+RECALL, KIND_RECALL, FINDINGS, APART, EPOCHS, SEED = 0.95, 0.94, 16000, 3800, 5, 11
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -53,8 +61,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs to score: all of them."""
-    return [m.span() for m in CANDIDATE.finditer(text)]
+    """Spans to score: whole runs and whole values, united where they overlap; embedded files are none."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
+    found += [m.span(m.lastindex) for m in NAMED.finditer(text)] + [m.span(1) for m in LOGIN.finditer(text)]
+    embedded = [m.span() for m in EMBEDDED.finditer(text)]
+    out: list[tuple[int, int]] = []
+    at = 0
+    for s, e in sorted(set(found), key=lambda x: (x[0], -x[1])):
+        while at < len(embedded) and embedded[at][1] <= s:
+            at += 1
+        if at < len(embedded) and embedded[at][0] < e:
+            continue
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def covered(start: int, end: int, taken: list[tuple[int, int, int]]) -> bool:
@@ -199,6 +221,11 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
         "prefixed letters": lambda: pick("ghp_", "sk-", "glpat-", "key-") + run(lower + upper, 16, 40),
         "phrase": phrase,
         "within a path": within,
+        "channel": lambda: pick("xoxb", "xoxp", "xapp") + "-" + "-".join(run(digits, 9, 14) for _ in range(rng.integers(1, 3))) + "-" + run(mixed, 16, 32),
+        "short": lambda: run(mixed, 8, 13),
+        "with signs": lambda: run(mixed + "!#$%&*?^~@+_.", 9, 24),
+        "login": lambda: run(mixed, 8, 24),
+        "uuid": lambda: "-".join(run(digits + "abcdef", k) for k in (8, 4, 4, 4, 12)),
         "assigned": lambda: pick("password", "token", "secret", "api_key") + "=" + run(mixed, 12, 32),
     }
 
@@ -206,6 +233,12 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
         """What stands before it, the secret, its kind."""
         kind = str(rng.choice(list(secrets)))
         body = secrets[kind]()
+        if kind == "uuid":
+            return pick("client_secret=", "client_secret: ", 'secret: "', "api_key="), body, kind
+        if kind == "login":
+            return pick("postgresql", "mysql", "ftp", "https", "redis") + "://" + pick(word(), "admin", "app") + ":", body, kind
+        if kind in ("short", "with signs"):
+            return pick('"password": "', "pwd=", "passwd: ", 'secret = "', "PASS=", "db_password: ", "password = '"), body, kind
         if len(body) < LEAST:
             body += run(digits, 6)
         if body in phrases:
@@ -214,9 +247,12 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
         return lead, body, kind
 
     look_alikes = {
+        "named word": lambda: (pick("password: ", "token = ", "secret: ", "pwd: ", "auth: ", 'passwd="'), pick(long_word(), "********", "<" + word() + "-" + word() + ">", "${" + word().upper() + "_" + word().upper() + "}", babble(4), word() + "-" + babble(3), "required", "unknown")),
+        "page": lambda: (pick("see ", "", "at "), pick("http://", "https://") + word() + "." + word() + pick(".com", ".org", "") + "/" + path(int(rng.integers(1, 5))) + pick("?p=", "?id=", "#", "/") + number(1, 9999)),
+        "server": lambda: (pick("http://", "amqp://", "redis://", "at "), word() + "." + word() + pick(".local:", ".example.org:", ":") + number(80, 9999) + "/" + word()),
         "numbered word": lambda: (pick("", "from ", "mailto "), f"{word()}.{number(1, 99)}"),
         "address": lambda: (pick("host ", "at ", "ip "), ".".join(number(10, 256) for _ in range(4))),
-        "digits": lambda: (pick("card ", "no. ", "id ", "", "call "), run(digits, 12, 19)),
+        "digits": lambda: (pick("card ", "no. ", "id ", "", "call ", "account ", "iban "), run(digits, 12, 24)),
         "telephone": lambda: (pick("call ", "tel ", ""), "-".join([run(digits, 3), run(digits, 3), run(digits, 4)])),
         "time": lambda: (pick("on ", "at ", ""), f"20{run(digits, 2)}-0{number(1, 9)}-1{number(0, 9)}T1{number(0, 9)}.{run(digits, 2)}"),
         "path with a number": lambda: (pick("http://", "see ", "path "), "/".join([word(), word(), number(1, 999), word()]) + pick("", ".html", ".py", "/")),
@@ -236,7 +272,7 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
         "invented word": lambda: (pick("", "", "and ", "!! "), cased(babble(int(rng.integers(4, 9)))) + pick("", "", ".", "!!", "-", ",")),
         "shouted word": lambda: (pick("", "!! ", "THE "), (babble(int(rng.integers(4, 8))) if rng.random() < 0.6 else "".join(rng.choice(list("THEANDSTINGOURWLCMPBYF"), rng.integers(12, 18)))).upper() + pick("!!", "!!", ".", "")),
     }
-    weights = {"checksum": 4, "long word": 2, "class with a number": 3, "hyphenated words": 2, "invented word": 5, "shouted word": 4}  # the nearest to secrets
+    weights = {"checksum": 4, "long word": 2, "class with a number": 3, "hyphenated words": 2, "invented word": 5, "shouted word": 4, "named word": 3, "identifier": 4, "digits": 5, "page": 3}  # the nearest to secrets
     often = [k for k in look_alikes for _ in range(weights.get(k, 1))]
 
     def harmless() -> tuple[str, str, str]:
@@ -248,9 +284,10 @@ def findings(n: int, seed: int = SEED) -> list[tuple[str, int, int, int, str]]:
     for i in range(n):
         lead, body, kind = secret() if i % 2 else harmless()
         before, after = prose(int(rng.integers(0, 8))), prose(int(rng.integers(0, 8)))
-        quote = pick('"', "'", "", "", "")
+        quote = "" if kind == "login" or lead[-1:] in ("'", '"') else pick('"', "'", "", "", "")
         head = before + pick(" ", "\n", " ", "") * bool(before) + lead + quote
-        tail = quote + pick(" ", ",", "\n", ". ", "@" if not i % 2 and rng.random() < 0.3 else " ") + after
+        quote = lead[-1] if lead[-1:] in ("'", '"') else quote
+        tail = (f"@{word()}.{word()}:{number(1000, 9999)}/{word()} " if kind == "login" else quote + pick(" ", ",", "\n", ". ", "@" if not i % 2 and rng.random() < 0.3 else " ")) + after
         text, start, end = head + body + tail, len(head), len(head) + len(body)
         run_of = next((span for span in candidates(text) if span[0] <= len(head) < span[1]), (start, end))
         out.append((text, *run_of, i % 2, kind))  # the whole run, as scans see it
@@ -294,10 +331,24 @@ def trained(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Scan
         a, b = a - 0.05 * (e * z).mean(), b - 0.05 * e.mean()
     scanner.scale = (float(a), float(b))
     positive = np.sort((sigmoid(a * z + b) * seen)[(t == 1) & ~by_pattern])  # those found without the network set no threshold
-    scanner.threshold = float(positive[int((1 - recall) * len(positive))])
+    scanner.threshold = min(float(positive[int((1 - recall) * len(positive))]), *apart(scanner, seed).values())
     return scanner
 
 
+def apart(scanner: Scanner, seed: int = SEED, n: int = APART, recall: float = KIND_RECALL) -> dict[str, float]:
+    """For each kind of secret written apart from training, the highest threshold at which that share of them is found."""
+    by_kind: dict[str, list[float]] = {}
+    for text, start, end, label, kind in secret_findings.drawn(n, seed + 1):
+        if label:
+            spans = [c for c in candidates(text) if c[0] < end and c[1] > start]
+            if covered(start, end, base_spans(text)):
+                p = 1.0
+            else:
+                p = float(scanner.probabilities([window(text, *c) for c in spans]).max()) if spans else 0.0  # no candidate: missed
+            by_kind.setdefault(kind, []).append(p)
+    return {k: float(np.sort(v)[int((1 - recall) * len(v))]) for k, v in by_kind.items()}
+
+
 def scan_secrets(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, found): per text an array of (kind, start, end) in code points, end exclusive, by start and then kind."""
     spark, kind = docs.sparkSession, require(docs, id_col).schema[0].dataType
