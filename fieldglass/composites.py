@@ -5,6 +5,8 @@ Customers stand in for players, nations for teams (``T0`` to ``T24``), orders fo
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from fieldglass.queries import POOL as DRAFT_POOL
 from fieldglass.queries import pool as draft_pool
 from fieldglass.operators import intervals, names
 from fieldglass.shared import shared_path
-from fieldglass.sources import documents, layout
+from fieldglass.sources import catalog, csv_splits, documents, layout
 from fieldglass.streaming import drafts, picks
 
 
@@ -504,3 +506,55 @@ def lookup_layout(spark, sf_dir):
     stored = layout.store_for_lookup(orders, shared_path(spark, "orders"), ["o_custkey", "o_orderdate"], ["o_custkey"])
     first = stored.agg(F.min("o_orderdate")).first()[0]
     return stored.filter((F.col("o_custkey") == 77) | (F.col("o_orderdate") == F.lit(first))).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+#: The datasets that ``hydrate_tiers`` leaves, with an id column of an earlier run that has to go first.
+HYDRATED_MORE = {
+    "draft_picks": {"key": "o_orderkey", "pfr_player_id": "CASE WHEN o_orderkey % 3 = 0 THEN concat('P', o_custkey) END", "pfr_player_name": "CASE WHEN o_orderkey % 5 = 0 THEN 'nobody' ELSE concat('Customer#', lpad(CAST(o_custkey AS string), 9, '0')) END", "college": "CASE o_custkey % 3 WHEN 0 THEN 'Ohio St.' ELSE 'Yale Col' END"},
+    "injuries": {"key": "o_orderkey", "gsis_id": "CASE WHEN o_orderkey % 4 = 0 THEN concat('G', o_custkey) END", "full_name": "CASE WHEN o_orderkey % 5 = 0 THEN ' Nobody Jr.' ELSE concat('Customer#', lpad(CAST(o_custkey AS string), 9, '0')) END"},
+    "players": {"key": "o_orderkey", "gsis_id": "concat('G', o_custkey)"},
+    "nextgen_stats": {"key": "o_orderkey", "player_gsis_id": "CASE WHEN o_orderkey % 7 > 0 THEN concat('G', o_custkey) END"},
+    "ff_opportunity": {"key": "o_orderkey", "player_id": "concat('G', o_custkey + o_orderkey % 2 * 100000000)"},
+    "ff_playerids": {"key": "o_orderkey", "gsis_id": "CASE WHEN o_orderkey % 2 = 0 THEN concat('G', o_custkey) ELSE 'none' END", "pfr_id": "concat('P', o_custkey)"},
+    "trades": {"key": "o_orderkey", "pfr_id": "concat('P', o_custkey)"},
+}
+MAPPED = {"yamplayer_id": "concat('YAMP_', c_custkey)", "gsis_id": "CASE WHEN c_custkey % 3 > 0 THEN concat('G', c_custkey) END", "pfr_id": "CASE WHEN c_custkey % 2 = 0 THEN concat('P', c_custkey) END", "merge_name": "lower(c_name)", "college": "CASE c_custkey % 3 WHEN 0 THEN 'Ohio State' ELSE 'Yale College' END", "birthdate": "CAST(NULL AS string)"}
+
+
+def _more(name: str) -> str:
+    return f"({sql_of(HYDRATED_MORE[name], 'orders')})".replace("AS string", "AS VARCHAR")
+
+
+@query(f"""
+    WITH m AS ({sql_of(MAPPED, 'customer').replace('AS string', 'AS VARCHAR')}), once AS (SELECT merge_name, max(yamplayer_id) AS hi FROM m GROUP BY 1 HAVING count(*) = 1)
+    SELECT 'draft_picks' AS dataset, key, coalesce(p.yamplayer_id, c.yamplayer_id) AS yamplayer_id FROM {_more('draft_picks')} x LEFT JOIN m p ON pfr_player_id = p.pfr_id LEFT JOIN m c ON {name_sql('pfr_player_name')} = c.merge_name AND {college_sql('x.college')} = c.college UNION ALL
+    SELECT 'injuries', key, coalesce(g.yamplayer_id, o.hi) FROM {_more('injuries')} x LEFT JOIN m g USING (gsis_id) LEFT JOIN once o ON {name_sql('full_name')} = o.merge_name UNION ALL
+    SELECT 'players', key, yamplayer_id FROM {_more('players')} x LEFT JOIN m USING (gsis_id) UNION ALL
+    SELECT 'nextgen_stats', key, yamplayer_id FROM {_more('nextgen_stats')} x LEFT JOIN m ON player_gsis_id = m.gsis_id UNION ALL
+    SELECT 'ff_opportunity', key, yamplayer_id FROM {_more('ff_opportunity')} x LEFT JOIN m ON player_id = m.gsis_id UNION ALL
+    SELECT 'ff_playerids', key, coalesce(g.yamplayer_id, p.yamplayer_id) FROM {_more('ff_playerids')} x LEFT JOIN m g USING (gsis_id) LEFT JOIN m p ON x.pfr_id = p.pfr_id UNION ALL
+    SELECT 'trades', key, yamplayer_id FROM {_more('trades')} x LEFT JOIN m USING (pfr_id)""")
+def hydrate_others(spark, sf_dir):
+    """The other seven datasets get their players' ids; what an earlier run left is dropped."""
+    t = Tables(spark, sf_dir)
+    rows = {n: derived(t.orders, c).withColumns({f"{identity.ID}_old": F.lit("x"), identity.ID: F.lit("y")}) for n, c in HYDRATED_MORE.items()}
+    found = identity.hydrate_all(rows, derived(t.customer, MAPPED))
+    assert all(f"{identity.ID}_old" not in df.columns for df in found.values())
+    parts = [df.select(F.lit(name).alias("dataset"), "key", identity.ID) for name, df in found.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("""
+    SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority || chr(10) || '"' || o_orderstatus || '", x' WHEN 1 THEN NULL ELSE o_orderpriority END AS note, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS a, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS b FROM orders""")
+def csv_by_name(spark, sf_dir):
+    """Two CSV sinks with a column of their own each and fields with line breaks and quotes, read in splits and united by name."""
+    orders = Tables(spark, sf_dir).orders
+    note = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat(o_orderpriority, chr(10), '\"', o_orderstatus, '\", x') WHEN 1 THEN NULL ELSE o_orderpriority END")
+    rows = orders.select(F.col("o_orderkey").cast("string").alias("k"), note.alias("note"), F.col("o_custkey").cast("string").alias("a"), F.col("o_orderstatus").alias("b"), (F.col("o_orderkey") % 2).alias("side"))
+    read = []
+    for side, own in ((0, "a"), (1, "b")):
+        path = shared_path(spark, "landed")
+        catalog.write_csv(rows.filter(F.col("side") == side).select("k", "note", own), path)
+        fields = csv_splits.fields(spark, path).filter(F.get("values", F.lit(0)) != "k")  # each file of the sink has a header
+        read.append(fields.select(*[F.nullif(F.get("values", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(("k", "note", own))]))
+    return read[0].unionByName(read[1], allowMissingColumns=True)

@@ -184,7 +184,8 @@ class CachedScan:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """With a header in each file; quotes inside fields are doubled, line breaks stay inside quotes."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def run_sql(spark: SparkSession, text: str) -> DataFrame:
