@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, lexical, line_dedup, media_gif, neighbours, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
-from .common import table
+from .common import fresh_path, materialise, scratch, table
 
 
 def tokenizer(name: str) -> str:
@@ -16,10 +19,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query's result, written; all else that it wrote to the shared folder goes. For results that are small beside their input."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = fresh_path(spark, query.__name__)
+        with scratch(spark):
+            return materialise(query(spark, sf_dir), query.__name__, path)
+
+    return run
+
+
+@settled
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+@settled
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,10 +46,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@settled
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@settled
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(table(spark, sf_dir, "pages"))
     return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -61,6 +80,7 @@ def op10_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.media_columns(table(spark, sf_dir, "documents"))
 
 
+@settled
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +89,7 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@settled
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"), every=50)
 

@@ -59,3 +59,15 @@ def test_many_cells_of_one_task(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert edges == {tuple(sorted((int(a), int(b)))) for a, b in zip(base, near)}
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_decontamination", "op4_simhash_dedup", "op5_warc", "op11_vector_codes", "op13_nearest_neighbours"])
+def test_a_query_leaves_only_its_result(spark, tmp_path, monkeypatch, name):
+    import os
+
+    from fieldglass.llm import common
+    from fieldglass.llm.queries import QUERIES
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rows.count() > 0 and [n.rsplit("-", 1)[0] for n in os.listdir(tmp_path)] == [name]
