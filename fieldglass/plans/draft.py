@@ -30,7 +30,7 @@ def levels(pool: DataFrame, league: League, shares: Mapping[str, float] | None =
 
 def value_over_replacement(pool: DataFrame, replacement: DataFrame, position: str = "position", value: str = POINTS) -> DataFrame:
     """``pool`` with vor; positions without a level count from 0."""
-    return pool.join(F.broadcast(replacement), position, "left").withColumn("vor", F.col(value) - F.coalesce("replacement", F.lit(0.0)))  # one row for each position
+    return pool.join(replacement, position, "left").withColumn("vor", F.col(value) - F.coalesce("replacement", F.lit(0.0)))  # its measured size decides how it is joined
 
 
 def survivors(pool: DataFrame, taken: int, adp: str = "adp") -> DataFrame:
@@ -53,7 +53,7 @@ def value_over_next(pool: DataFrame, taken: int, roster: RosterConfig | None = N
     spread = left.select(ID, value, F.explode(F.when(in_flex, members).otherwise(F.array(F.col(position)))).alias("__g")) if flexed else left.select(ID, value, F.col(position).alias("__g"))
     best = top_k(spread, 2, ["__g"], F.col(value).desc_nulls_last(), F.col(ID))
     best = best.groupBy("__g").agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(ID).alias("id"))), False).alias("__best"))  # two at most
-    out = pool.withColumn("__group", group).join(F.broadcast(best), F.col("__group") == F.col("__g"), "left")  # one row for each group
+    out = pool.withColumn("__group", group).join(best, F.col("__group") == F.col("__g"), "left")  # one row for each group, broadcast if these are few
     other = F.filter("__best", lambda b: b["id"] != F.col(ID))
     baseline = F.when(F.size(other) > 0, F.array_max(F.transform(other, lambda b: b["v"])))
     return out.withColumn("vona", F.col(value) - F.coalesce(baseline, F.lit(0.0))).drop("__group", "__g", "__best")
