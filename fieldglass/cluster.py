@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -26,3 +28,8 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def carried(module: str) -> None:
+    """Pickle what this module defines by value: stateful processors and data sources also run in workers beside the driver, which have no shipped package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -23,10 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from fieldglass.cluster import ship_package
+from fieldglass.cluster import carried, ship_package
 from fieldglass.sources.documents import parse, parse_draft, parse_league
 from fieldglass.sources.service import DEFAULTS, PATHS
 
+carried(__name__)
+
 RETRIES, WAIT = 4, 0.5
 #: Keys under which the reader's filters reach the plan.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"

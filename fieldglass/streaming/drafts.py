@@ -30,8 +30,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCom
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.util import InheritableThread
 
-from fieldglass.cluster import ship_package
-from fieldglass.plans.league import snake_slot
+from fieldglass.cluster import carried, ship_package
+
+carried(__name__)
 
 EVENT = "draft_id string, event string, pick_no int, round int, slot int, player_id string, current_pick int, on_the_clock int, is_complete boolean"
 STATE = "draft_id string, picks int, current_pick int, on_the_clock int, is_complete boolean, rosters string"
@@ -39,6 +40,12 @@ EVENT_ROW, STATE_ROW = (Row(*[c.split()[0] for c in columns.split(", ")]) for co
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def snake_slot(pick: int, teams: int) -> int:
+    """As in ``plans/league.py``, for workers that have this module alone."""
+    back, place = divmod(pick - 1, teams)
+    return teams - place if back % 2 else place + 1
+
+
 class DraftFold(StatefulProcessor):
     """State of a draft: ``progress`` (picks folded), ``early`` (picks beyond a gap), and ``made`` (folded picks) where whole states are asked for."""
 

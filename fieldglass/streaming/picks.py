@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
-from fieldglass.cluster import ship_package
+from fieldglass.cluster import carried, ship_package
 from fieldglass.plans.league import POSITIONS
 from fieldglass.streaming.drafts import fold_states
 
+carried(__name__)
+
 PICK = "draft_id string, pick_no int, round int, draft_slot int, picked_by string, player_id string, position string, team string"
 
 
