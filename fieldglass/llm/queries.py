@@ -31,7 +31,6 @@ def settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
-@settled
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 

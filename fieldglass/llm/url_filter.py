@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, fresh_path, materialise, require
+from .common import ascii_lower, discard, materialise, require, shared_dir
 
 ALLOW, BLOCK = "allow", "block"
 #: The production rules: verdict, host, path.
@@ -149,7 +150,7 @@ def judge(rules: Digests, listed: Digests, hosts: list[str], paths: list[str]) -
 
 def stored(spark: SparkSession, parts: Iterable[bytes]) -> str:
     """One file of those parts in the shared folder, fetched once by every executor; its name."""
-    path = fresh_path(spark, "digests")
+    path = f"{shared_dir(spark).rstrip('/')}/digests-{uuid.uuid4().hex}"  # not in a scratch block: executors that join later fetch it too
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
     for part in parts:
