@@ -574,13 +574,12 @@ def simulate_candidates(spark, sf_dir):
     """Ten candidates of a twelve-team draft over the whole pool, two hundred drafts each. Seeded, so rows repeat."""
     from fieldglass.plans import simulate
 
-    t = Tables(spark, sf_dir)
-    players = pool(t).orderBy("adp").collect()  # all: the user's weighted picks give every player a chance
-    available = {str(p["player_id"]): {"player_id": str(p["player_id"]), "position": p["position"], "projected_points": p["projected_points"] / 30, "adp": float(i + 1), "adp_std": 4.0} for i, p in enumerate(players)}
+    players = ordered.numbered(pool(Tables(spark, sf_dir)), [], [F.asc("adp"), F.asc("player_id")], "place")  # all: the user's weighted picks give every player a chance
+    players = players.select("player_id", "position", (F.col("projected_points") / 30).alias("projected_points"), F.col("place").cast("double").alias("adp"), F.lit(4.0).alias("adp_std"))
     managers = tuple(league.Manager(f"m{i}", f"m{i}", i, i == 5) for i in range(1, 13))
-    state = league.DraftState(league.League(12, league.RosterConfig(def_=0, bench=2)), managers, available)
-    snap = simulate.snapshot(state, {p: 100.0 for p in league.POSITIONS})
-    return simulate.simulate_candidates(spark, snap, list(available)[:10], 200, 50)
+    state = league.DraftState(league.League(12, league.RosterConfig(def_=0, bench=2)), managers)
+    snap, first = simulate.pool_snapshot(spark, state, players, {p: 100.0 for p in league.POSITIONS})
+    return simulate.simulate_candidates(spark, snap, first(10), 200, 50)
 
 
 from fieldglass import composites  # noqa: E402, F401 - registers its queries with the names above
