@@ -15,7 +15,7 @@ from fieldglass.plans import athletic, draft, identity, inseason, league, pool,
 from fieldglass.queries import LEAGUE, SEGMENT, Tables, query, r6
 from fieldglass.queries import POOL as DRAFT_POOL
 from fieldglass.queries import pool as draft_pool
-from fieldglass.operators import intervals, names
+from fieldglass.operators import intervals, names, ordered
 from fieldglass.shared import shared_path
 from fieldglass.sources import catalog, csv_splits, documents, layout
 from fieldglass.streaming import drafts, picks
@@ -449,13 +449,13 @@ def draft_events(spark, sf_dir):
     FROM r c CROSS JOIN later JOIN r o ON o.rank = CASE WHEN later.m < c.rank THEN later.m ELSE later.m + 1 END WHERE c.rank <= 8 GROUP BY c.c_custkey""")
 def draft_deterministic(spark, sf_dir):
     """A draft of one position in which everybody takes the best player left: the simulation has one outcome, which SQL can say."""
-    rows = Tables(spark, sf_dir).customer.select("c_custkey", F.col("c_acctbal").alias("v")).orderBy(F.desc("v"), "c_custkey").collect()  # the draft's pool
-    available = {str(r.c_custkey): {"player_id": str(r.c_custkey), "position": "RB", "projected_points": r.v, "adp": float(i + 1), "adp_std": 4.0} for i, r in enumerate(rows)}
+    rows = ordered.numbered(Tables(spark, sf_dir).customer.select("c_custkey", F.col("c_acctbal").alias("v")), [], [F.desc("v"), F.asc("c_custkey")], "place")  # the draft's pool
+    players = derived(rows, {"player_id": "CAST(c_custkey AS string)", "position": "'RB'", "projected_points": "v", "adp": "CAST(place AS double)", "adp_std": "CAST(4 AS double)"})
     managers = tuple(league.Manager(f"m{i}", f"m{i}", i, i == 1) for i in range(1, 13))
     roster = league.RosterConfig(qb=0, rb=5, wr=0, te=0, flex=0, k=0, def_=0, bench=0)
     greedy = simulate.PickModel(simulate.GREEDY_VOR)
-    snap = simulate.snapshot(league.DraftState(league.League(12, roster), managers, available), {"RB": 10.0}, greedy, greedy)
-    out = simulate.simulate_candidates(spark, snap, list(available)[:8], 20, 5)
+    snap, first = simulate.pool_snapshot(spark, league.DraftState(league.League(12, roster), managers), players, {"RB": 10.0}, greedy, greedy)
+    out = simulate.simulate_candidates(spark, snap, first(8), 20, 5)
     return out.select("player_id", F.round("mean_score", 2).alias("mean_score"), F.round("std_score", 6).alias("std_score"), "n_simulations")
 
 

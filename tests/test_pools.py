@@ -63,3 +63,16 @@ def test_offers_that_run_out_are_made_again(spark, drafted, monkeypatch):
     monkeypatch.setattr(simulate, "OFFERED", 1)
     got = simulate.simulate_candidates(spark, drafted()[1], ["p0"], 20, 10).collect()
     assert got[0].n_simulations == 20 and np.isfinite(got[0].mean_score)
+
+
+def test_a_query_over_a_large_pool_sends_no_pool_to_the_tasks(spark, monkeypatch):
+    from oracle import check
+
+    from fieldglass.queries import ORACLE, QUERIES
+
+    whole, sent = simulate.cloudpickle.dumps, []
+    monkeypatch.setattr(simulate, "IN_MEMORY", 0)
+    monkeypatch.setattr(simulate.cloudpickle, "dumps", lambda x, *how: sent.append(x) or whole(x, *how))
+    check(spark, QUERIES["draft_deterministic"], ORACLE["draft_deterministic"], "/root/testdata/sf0.01")
+    (_, rows, _), = [x for x in sent if isinstance(x, tuple) and len(x) == 3 and isinstance(x[0], simulate.Pool)]
+    assert len(rows) < 300 < spark.read.parquet("/root/testdata/sf0.01/customer.parquet").count()
