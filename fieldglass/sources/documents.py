@@ -5,7 +5,7 @@ from __future__ import annotations
 import html.parser
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,17 +93,27 @@ def table_rows(page: str | None, wanted: tuple[str, ...]) -> list[dict[str, str]
     return []
 
 
-def html_tables(pages: DataFrame, wanted: tuple[str, ...], key: str = "page_id", column: str = "html") -> DataFrame:
-    """(key, row, cells map) of the first fitting table of each page. Pages arrive in Arrow batches; a page without one gives no rows."""
-    ship_package(pages.sparkSession)
+def html_tables(pages: DataFrame, wanted: tuple[str, ...], key: str = "page_id", column: str = "html", parts: int | None = None) -> DataFrame:
+    """(key, row, cells map) of the first fitting table of each page. Pages arrive in Arrow batches; a page without one gives no rows.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [(k, i, cells) for k, page in zip(part[key], part[column]) for i, cells in enumerate(table_rows(page, wanted))]
-            yield pd.DataFrame(found, columns=[key, "row", "cells"])
+    Parsing takes far longer than reading, and a file of some megabytes is one task's to read, so pages are first dealt out over ``parts`` tasks.
+    """
+    spark = ship_package(pages.sparkSession)
+    parts = parts or max(4 * spark.sparkContext.defaultParallelism, 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, found = [], [], []
+            for k, page in enumerate(batch.column(1).to_pylist()):
+                for i, cells in enumerate(table_rows(page, wanted)):
+                    at.append(k)
+                    places.append(i)
+                    found.append(list(cells.items()))
+            cells = pa.array(found, pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), cells], names=[key, "row", "cells"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, column).mapInPandas(run, f"`{key}` {kind}, row int, cells map<string, string>")
+    return pages.select(key, column).repartition(parts).mapInArrow(run, f"`{key}` {kind}, row int, cells map<string, string>")
 
 
 def projections(pages: DataFrame, codes: DataFrame | None = None) -> DataFrame:
@@ -111,13 +121,16 @@ def projections(pages: DataFrame, codes: DataFrame | None = None) -> DataFrame:
 
     A team defence is the team whose full name holds the cell's text, the first by name; without one it has no team.
     """
-    rows = html_tables(pages, ("Player", "FPTS")).join(pages.select("page_id", "position"), "page_id")
-    rows = rows.select("position", F.col("cells")["Player"].alias("raw"), F.replace(F.col("cells")["FPTS"], F.lit(","), F.lit("")).try_cast("double").alias("fpts")).filter(F.col("fpts").isNotNull())
+
+    def numbers(of: DataFrame) -> DataFrame:
+        rows = html_tables(of.filter(F.col("page_id").isNotNull()).select("position", "html"), ("Player", "FPTS"), "position")
+        return rows.select("position", F.col("cells")["Player"].alias("raw"), F.replace(F.col("cells")["FPTS"], F.lit(","), F.lit("")).try_cast("double").alias("fpts")).filter(F.col("fpts").isNotNull())
+
     name, team = team_suffix("raw")
-    skill = rows.filter("position != 'DEF'").select(name.alias("player_name"), team.alias("team"), "position", "fpts")
+    skill = numbers(pages.filter("position != 'DEF'")).select(name.alias("player_name"), team.alias("team"), "position", "fpts")  # each page is parsed once, on one of the sides
     if codes is None:
         return skill
-    dst = contained_in(rows.filter("position = 'DEF'").select("raw", "position", "fpts").distinct(), "raw", codes, "team_name", "nflverse_code", "team")  # 32 teams
+    dst = contained_in(numbers(pages.filter("position = 'DEF'")).select("raw", "position", "fpts").distinct(), "raw", codes, "team_name", "nflverse_code", "team")  # 32 teams
     return skill.unionByName(dst.select(F.col("raw").alias("player_name"), F.coalesce("team", F.lit("FA")).alias("team"), "position", "fpts"))
 
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from fieldglass.sources import catalog, documents, registry
 
@@ -100,6 +101,16 @@ def test_html_tables(spark):
     assert documents.html_tables(pages, ("Player", "FPTS")).filter("page_id = 1").count() == 2
 
 
+def test_pages_are_dealt_out_and_parsed_once(spark):
+    pages = spark.createDataFrame([(i // 2, "QB", PAGE) for i in range(400)], "page_id int, position string, html string").coalesce(1)
+    assert documents.html_tables(pages, ("Player", "FPTS")).select(F.spark_partition_id()).distinct().count() > 8
+    codes = spark.createDataFrame([("Buffalo Bills", "BUF")], "team_name string, nflverse_code string")
+    got = documents.projections(pages, codes)
+    assert got.count() == 400  # two pages of one id are two
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "NOT (position" in plan.split("MapInArrow")[1]  # below the parser, not above it
+
+
 def test_service_documents_by_name(spark):
     from fieldglass.sources.service import PATHS, DraftService
 
