@@ -468,8 +468,8 @@ def interval_join(spark, sf_dir):
     t = Tables(spark, sf_dir)
     days = derived(t.orders, {"o_orderkey": "o_orderkey", "team": "CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 200 END", "day": "CAST(datediff(o_orderdate, DATE '1992-01-01') AS long)"})
     spans = derived(t.events, {"event_id": "event_id", "team": "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 200 END", "low": "event_id * 13 % 2400", "high": "event_id * 13 % 2400 + event_id % 5", "value": "value"})
-    found = intervals.range_join(days, spans, ["team"], "day", "low", "high")
-    return found.groupBy("o_orderkey").agg(F.count("event_id").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 4).alias("total"))
+    found = intervals.range_totals(days, spans, ["team"], "day", "low", "high", {"n": F.col("event_id").isNotNull().cast("long"), "total": F.col("value")})
+    return found.groupBy("o_orderkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.round(F.coalesce(F.sum("total"), F.lit(0.0)), 4).alias("total"))
 
 
 @query("""

@@ -5,17 +5,22 @@ Both sides are keyed by (group, size, piece), so a point meets just the ranges t
 filtered away, however many ranges a group has. Points that are equal meet the ranges once. A hot group is spread over
 its pieces.
 
+Where only totals over a point's ranges are asked for, ``range_totals`` adds up the ranges of each piece and the pieces of
+each distinct point: no pair of a point and a range is made at all, so the work grows with rows and not with pairs.
+
 Ends belong to the range. A range with a null end or group, or whose end lies before its start, holds nothing; a null
 point lies in none. Ends and points must be within +-2^60.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.shared import written
+
 #: Sizes of pieces: 2^0 to 2^61.
 SIZES = 62
 
@@ -43,14 +48,38 @@ def _up(x: Column, k: Column) -> Column:
 
 def range_join(points: DataFrame, ranges: DataFrame, by: Sequence[str], point: str, low: str, high: str, how: str = "left") -> DataFrame:
     """``points`` with the columns of each range of their group that holds them. ``how``: left or inner. Names of ``ranges`` other than ``by`` must not be in ``points``."""
+    keys = [f"__b{i}" for i in range(len(by))]
+    cut = _cut(ranges, by, keys, low, high)
+    found = _spread(points, cut, by, keys, point).join(cut, [*keys, "__size", "__piece"]).drop("__size", "__piece")
+    return points.join(found, _same(by, keys, point), how).drop(*keys, "__x")
+
+
+def range_totals(points: DataFrame, ranges: DataFrame, by: Sequence[str], point: str, low: str, high: str, sums: Mapping[str, Column]) -> DataFrame:
+    """``points``, each row once, with sums over the ranges of their group that hold them: name -> column over ``ranges``. Null where no range holds the point, or none with a value."""
+    keys = [f"__b{i}" for i in range(len(by))]
+    named = ranges.select(*by, low, high, *[c.alias(n) for n, c in sums.items()])
+    total = [F.sum(n).alias(n) for n in sums]
+    same = named.groupBy(*by, low, high).agg(*total)  # equal ranges are cut once
+    cut = written(_cut(same, by, keys, low, high).groupBy(*keys, "__size", "__piece").agg(*total), "pieces")
+    found = _spread(points, cut, by, keys, point).join(cut, [*keys, "__size", "__piece"]).groupBy(*keys, "__x").agg(*total)
+    return points.join(found, _same(by, keys, point), "left").drop(*keys, "__x")
+
+
+def _cut(ranges: DataFrame, by: Sequence[str], keys: Sequence[str], low: str, high: str) -> DataFrame:
+    """A row for each piece of each range."""
     cut = ranges.withColumn("__p", F.explode(pieces(F.col(low), F.col(high)))).withColumns({"__size": F.col("__p.size"), "__piece": F.col("__p.piece")}).drop("__p")
+    return cut.withColumnsRenamed(dict(zip(by, keys)))
+
+
+def _spread(points: DataFrame, cut: DataFrame, by: Sequence[str], keys: Sequence[str], point: str) -> DataFrame:
+    """A row for each distinct point and each size of piece there is."""
     sizes = sorted(r[0] for r in cut.select("__size").distinct().collect())  # 62 at most
-    keys = [f"__b{i}" for i in range(len(by))]
-    cut = cut.withColumnsRenamed(dict(zip(by, keys)))
     ones = points.filter(F.col(point).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(point).cast("long").alias("__x")).distinct()
-    spread = ones.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("__piece", _down(F.col("__x"), F.col("__size")))
-    found = spread.join(cut, [*keys, "__size", "__piece"]).drop("__size", "__piece")
+    return ones.withColumn("__size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("__piece", _down(F.col("__x"), F.col("__size")))
+
+
+def _same(by: Sequence[str], keys: Sequence[str], point: str) -> Column:
     same = F.col(point) == F.col("__x")
     for b, k in zip(by, keys):
         same = same & (F.col(b) == F.col(k))
-    return points.join(found, same, how).drop(*keys, "__x")
+    return same

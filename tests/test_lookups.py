@@ -28,6 +28,30 @@ def test_range_join_equals_a_scan_of_all_pairs(spark, rows, seed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "<=" not in plan
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_range_totals_equal_those_of_the_pairs(spark, rows, seed):
+    rng = random.Random(seed)
+    team = lambda: rng.choice(["hot", "hot", "hot", "a", "b", None])
+    p = spark.createDataFrame([(i, team(), rng.choice([None, rng.randint(-70, 70)])) for i in range(200)] + [(1, "hot", 5)] * 2, "id long, team string, x long")
+    ranges = [(team(), rng.choice([None, lo]), lo + rng.randint(-3, 40), rng.choice([None, k])) for k in range(80) for lo in [rng.randint(-60, 60)]]
+    r = spark.createDataFrame(ranges * 2 + [("hot", -(2**60), 2**60, 7)], "team string, lo long, hi long, v long")
+    want = []
+    for i, t, x in map(tuple, p.collect()):
+        hits = [q[3] for q in map(tuple, r.collect()) if None not in (t, x, *q[:3]) and q[0] == t and q[1] <= x <= q[2]]
+        known = [v for v in hits if v is not None]
+        want.append((i, t, x, len(hits) or None, sum(known) if known else None))
+    got = intervals.range_totals(p, r, ["team"], "x", "lo", "hi", {"n": F.lit(1), "total": F.col("v")})
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_totals_make_no_pairs(spark):
+    """A hundred equal points in a thousand ranges: joins see pieces and distinct points alone."""
+    p = spark.range(100).select("id", F.lit("t").alias("team"), F.lit(5).alias("x"))
+    r = spark.range(1000).select(F.lit("t").alias("team"), (F.col("id") % 5).alias("lo"), F.lit(9).alias("hi"))
+    got = intervals.range_totals(p, r, ["team"], "x", "lo", "hi", {"n": F.lit(1)})
+    assert {x.n for x in got.collect()} == {1000} and got.count() == 100
+
+
 def test_range_join_of_nothing(spark):
     p, r = spark.createDataFrame([], "team string, x long"), spark.createDataFrame([], "team string, lo long, hi long")
     assert intervals.range_join(p, r, ["team"], "x", "lo", "hi").collect() == []
