@@ -360,8 +360,9 @@ def free_agents(spark, sf_dir):
     """All six parts, over players on no roster; rosters are arrays of ids, from the events' users."""
     t = Tables(spark, sf_dir)
     tables = season_tables(t)
-    rosters = t.events.groupBy("event_type").agg(F.collect_set(F.concat(F.lit("S"), "user_id")).alias("players"))
-    trending = t.lineitem.groupBy(F.concat(F.lit("S"), "l_partkey").alias("sleeper_id")).agg(F.count(F.lit(1)).alias("count"))
+    held = t.events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("events")).withColumn("team", F.floor(F.col("user_id") / 100))  # a roster holds a hundred players at most, however many users there are
+    rosters = held.groupBy("event_type", "team").agg(F.collect_list(F.concat(F.lit("S"), "user_id")).alias("players"))
+    trending = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("count")).select(F.concat(F.lit("S"), "l_partkey").alias("sleeper_id"), "count")
     out = inseason.free_agents(tables, 1995, 10, "half_ppr", inseason.unrostered(tables["ff_playerids"], rosters), trending, lookback=6)
     rounded = {c: F.round(c, 5) for c in ("mean_points", "mean_opportunity", "schedule_quality", "mean_vs_expectation")} | {"composite": F.round("composite", 4)}
     return out.withColumns(rounded).select("player_id", "player_name", "position", "team", "sleeper_id", "ecr_rank", "injury_status", "weeks_analyzed", *rounded, "trending_adds")

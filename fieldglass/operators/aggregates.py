@@ -34,9 +34,10 @@ def both_sides(games: DataFrame, home: str, away: str, team: str = "team", oppon
 
 def mean_over_opponents(games: DataFrame, allowed: DataFrame, positions: Sequence[str], value: str = "allowed") -> DataFrame:
     """Mean over a team's coming games of what its opponents allow a position; an unknown opponent counts 0. ``games``: team, opponent; ``allowed``: opponent, position, value."""
-    wide = games.withColumn("position", F.explode(F.array(*map(F.lit, positions))))
+    met = games.groupBy("team", "opponent").agg(F.count(F.lit(1)).alias("__n"))  # pairs of teams, however many games
+    wide = met.withColumn("position", F.explode(F.array(*map(F.lit, positions))))
     joined = wide.join(allowed, ["opponent", "position"], "left")
-    return joined.groupBy("team", "position").agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("schedule_quality"))
+    return joined.groupBy("team", "position").agg((F.sum(F.col("__n") * F.coalesce(value, F.lit(0.0))) / F.sum("__n")).alias("schedule_quality"))
 
 
 def depth(teams: int, slots: Mapping[str, int], flex: int = 0, shares: Mapping[str, float] = FLEX_SHARE) -> dict[str, int]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import choose, latest, minmax_by, ratio_or_null
 from fieldglass.operators import both_sides, form, mean_over_opponents
+from fieldglass.shared import written
 
 POSITIONS = ["QB", "RB", "WR", "TE", "K"]
 
@@ -98,7 +99,7 @@ def free_agents(
     tables: Mapping[str, DataFrame], season: int, week: int, scoring: str = "ppr", available: DataFrame | None = None, trending: DataFrame | None = None,
     weights: FreeAgentWeights = FreeAgentWeights(), lookback: int = 4, ahead: int = 3, dedupe: bool = False,
 ) -> DataFrame:
-    """Scored players, best first; only those of ``available`` (sleeper_id), which then set the scale. One lazy plan.
+    """Scored players, best first; only those of ``available`` (sleeper_id), which then set the scale. All but the scales and the order is written once.
 
     Before the second week there is nothing to look back on: the result is empty.
     """
@@ -115,7 +116,7 @@ def free_agents(
         out = out.join(available.select("sleeper_id").distinct(), "sleeper_id", "left_semi")
     if end < start:
         out = out.limit(0)
-    out = blend(out, weights)
+    out = blend(written(out, "scored"), weights)  # read twice: for the scales and for the rows
     adds = trending.select("sleeper_id", F.col("count").alias("trending_adds")) if trending is not None else None
     out = out.join(adds, "sleeper_id", "left") if adds is not None else out.withColumn("trending_adds", F.lit(0))
     return out.withColumn("trending_adds", F.coalesce("trending_adds", F.lit(0))).orderBy(F.desc("composite"), "player_id")

@@ -184,3 +184,14 @@ def test_empty_tables_give_empty_results(spark):
     assert pool.player_pool(t, 2024).count() == 0 and inseason.free_agents(t, 2024, 5).count() == 0
     assert athletic.athletic_scores(spark.createDataFrame([], COMBINE), 2020).count() == 0
     assert json.loads("[]") == []
+
+
+def test_schedules_are_met_by_pairs_of_teams(spark, rows):
+    """A game that repeats is one row of the join, counted as often as it stands."""
+    games = spark.createDataFrame([("A", "B")] * 300 + [("A", "C")] * 100 + [("B", None)], "team string, opponent string")
+    allowed = spark.createDataFrame([("B", "QB", 8.0), ("C", "QB", 4.0)], "opponent string, position string, allowed double")
+    from fieldglass.operators import mean_over_opponents
+
+    got = mean_over_opponents(games, allowed, ["QB", "K"])
+    assert rows(got) == [("A", "K", 0.0), ("A", "QB", 7.0), ("B", "K", 0.0), ("B", "QB", 0.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [team") == 2  # one below the join
